@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space as the contracts define it: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -48,7 +49,7 @@ def empty_as_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def arrow_map(df: DataFrame, columns: Sequence[str], schema: str, rows: Callable[[Iterator[tuple]], Iterable[tuple]], flush: int = 20_000, heavy: int = 8 << 20) -> DataFrame:
+def arrow_map(df: DataFrame, columns: Sequence[str], schema: str | StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]], flush: int = 20_000, heavy: int = 8 << 20) -> DataFrame:
     """Applies ``rows`` to the tuples of ``columns`` of each partition; its tuples go back to the JVM in bounded Arrow batches.
 
     A batch ends after ``flush`` rows or about ``heavy`` bytes of text and binary values, so one task
