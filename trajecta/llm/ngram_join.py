@@ -8,9 +8,9 @@ answers are derived from those of similar sets: sets that are already connected
 at again, and parity bitmaps of both sets bound their difference, so a set that is far from it goes
 without a look at its shingles. What is left is verified on whole sets.
 
-Round one takes per list a spanning forest of pairs that the bitmap cannot tell apart; round two takes all
-pairs between sets that round one left unconnected. Both are exact filters, so no link between components
-is lost, and the number of pairs stays linear in the lists where sets are connected.
+Round one takes per list a spanning forest of pairs that the bitmap cannot tell apart; round two takes, in
+lists where such a pair was no link, all pairs between sets that are still unconnected. Both are exact
+filters, so no link between components is lost, and the pairs stay linear in lists whose sets are connected.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ class Shingler:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Bit i is the parity of the elements that fall to i; the count of differing bits of two such bitmaps is at most the sets' difference."""
-    bits = max(64, 1 << (max(len(shingles), 1) - 1).bit_length())
+    bits = max(64, 1 << (len(shingles) // 2).bit_length())
     return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -119,7 +120,7 @@ def order(described: DataFrame) -> np.ndarray:
 
 
 def lists(docs: DataFrame, size: int, percent: int, ranks: np.ndarray, text: str = "text") -> DataFrame:
-    """token, n, pos, sid: the entries of index lists that hold more than one set."""
+    """token, n, pos, sid: the entries of index lists that have a partner of fitting size in their list."""
 
     def rows(given: Iterator[tuple]):
         shingles, sent = Shingler(size), Cache(lambda _: True, 10_000)
@@ -133,37 +134,52 @@ def lists(docs: DataFrame, size: int, percent: int, ranks: np.ndarray, text: str
             k = n - (-(-percent * n // 100)) + 1
             key = (ranks[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | ((s * _M) >> np.uint64(8))
             first = np.argpartition(key, k - 1)[:k] if k < n else np.arange(n)
-            first = first[np.argsort(key[first], kind="stable")]
-            for pos, token in enumerate(s[first].view(np.int64).tolist()):
-                yield token, n, pos, sid
-
-    schema = "token long, n int, pos int, sid binary"
-    dealt = arrow_map(docs, ["doc_id", text], schema, rows, flush=50_000).repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
-
-    def several(given: Iterator[tuple]):
-        kept: tuple | None = None
-        shown = False
-        for row in given:
-            if kept is None or row[0] != kept[0]:
-                shown = False
-            elif row[3] == kept[3]:
-                continue
-            else:
-                if not shown:
-                    yield kept
-                yield row
-                shown = True
-            kept = row
-
-    return arrow_map(dealt, ["token", "n", "pos", "sid"], schema, several, flush=50_000)
-
-
-def _candidates(entries: DataFrame, percent: int, forest: bool, cell: int) -> DataFrame:
-    """Distinct pairs a < b of ids from entries with token, id, n, pos, bits and comp; with ``forest`` a spanning forest per list, else all pairs of different comps."""
+            yield s[first[np.argsort(key[first], kind="stable")]].view(np.int64), n, sid
+
+    held = arrow_map(docs, ["doc_id", text], "tokens array<long>, n int, sid binary", rows, flush=2_000).select("n", "sid", F.posexplode("tokens").alias("pos", "token"))
+    dealt = held.select("token", "n", "pos", "sid").repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keeps an entry if the next or the one before in its list is another set of fitting size; sizes grow, so no other can fit if neither does."""
+        rest: pa.RecordBatch | None = None  # the last two rows wait for what follows; the first of them is settled
+
+        def kept(b: pa.RecordBatch, first: int, last: int) -> pa.RecordBatch:
+            token, n, sid = (b.column(i) for i in (0, 1, 3))
+            token, n = token.to_numpy(), n.to_numpy().astype(np.int64)
+            other = np.array(sid.slice(1).to_pylist(), dtype=object) != np.array(sid.slice(0, len(sid) - 1).to_pylist(), dtype=object)
+            meets = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]) & other
+            keep = np.zeros(len(token), bool)
+            keep[1:] |= meets
+            keep[:-1] |= meets
+            return b.slice(first, last - first).filter(pa.array(keep[first:last]))
+
+        settled = 0
+        for b in batches:
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            if b.num_rows > 1:
+                out = kept(b, settled, b.num_rows - 1)
+                if out.num_rows:
+                    yield out
+            settled = min(1, b.num_rows - 1) if b.num_rows > 1 else 0
+            rest = b.slice(max(0, b.num_rows - 2))
+        if rest is not None and rest.num_rows > 1:
+            out = kept(rest, settled, rest.num_rows)
+            if out.num_rows:
+                yield out
+
+    return dealt.mapInArrow(fitting, "token long, n int, pos int, sid binary")
+
+
+def _candidates(entries: DataFrame, bits: DataFrame, percent: int, forest: bool, cell: int) -> DataFrame:
+    """Distinct pairs a < b of ids from entries with token, id, n, pos and comp; with ``forest`` a spanning forest per list, else all pairs of different comps.
+
+    Bitmaps (id, bits) join last, once lists of one comp are gone, and travel once.
+    """
     counted = entries.join(entries.groupBy("token").agg(F.count("*").alias("_m"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi"), "token")
     cells = counted.withColumn("_k", F.expr(f"cast(ceil(_m / {cell}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), _k) as int)"))
-    cells = cells.select("token", "id", "n", "pos", "bits", "comp", "own", F.explode(F.expr("sequence(0, _k - 1)")).alias("_o")).select("token", F.expr("least(own, _o)").alias("i"), F.expr("greatest(own, _o)").alias("j"), "n", "pos", "id", "own", "comp", "bits")
-    dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "id")
+    cells = cells.select("token", "id", "n", "pos", "comp", "own", F.explode(F.expr("sequence(0, _k - 1)")).alias("_o")).select("token", F.expr("least(own, _o)").alias("i"), F.expr("greatest(own, _o)").alias("j"), "n", "pos", "id", "own", "comp")
+    dealt = cells.join(bits, "id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "id")
 
     def rows(given: Iterator[tuple]):
         sent: set = set()
@@ -260,15 +276,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     described = saved(describe(docs, size, text))
     each = described.where("part is null").select("doc_id", "n", "sid", "bits")
     sets = saved(each.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.max("bits").alias("bits")))
-    entries = saved(lists(docs, size, percent, order(described), text))
-    known = entries.join(sets.select("sid", "id", "bits"), "sid").select("token", "n", "pos", "id", "bits")
-    links = saved(verified(_candidates(known.withColumn("comp", F.col("id")), percent, True, cell), docs, size, percent, text))
+    bits = sets.select("id", "bits")
+    entries = saved(lists(docs, size, percent, order(described), text).join(sets.select("sid", "id"), "sid").select("token", "n", "pos", "id").distinct())
+    pairs = saved(_candidates(entries.withColumn("comp", F.col("id")), bits, percent, True, cell))
+    links = saved(verified(pairs, docs, size, percent, text))
     labels = components(links)
-    again = known.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-    more = _candidates(again, percent, False, cell).join(links, ["a", "b"], "left_anti")
-    more = saved(verified(saved(more), docs, size, percent, text))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    # In a list, pairs across the forest's trees are too far apart, and within a tree connected, if its pairs are
+    # links. So only lists with a pair that turned out to be none need the second round.
+    wrong = pairs.join(links, ["a", "b"], "left_anti")
+    open_ids = saved(wrong.select(F.col("a").alias("id")).union(wrong.select("b")).distinct())
+    if not open_ids.isEmpty():
+        again = entries.join(entries.join(open_ids, "id", "left_semi").select("token").distinct(), "token", "left_semi")
+        again = again.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
+        more = saved(_candidates(again, bits, percent, False, cell).join(pairs, ["a", "b"], "left_anti"))
+        more = saved(verified(more, docs, size, percent, text))
+        if not more.isEmpty():
+            labels = components(links.union(more))
     copies = sets.join(labels.withColumnRenamed("v", "id"), "id", "left").select("sid", F.coalesce("label", "id").alias("_least"))
     # one doc_id may stand for several texts: its rows share the least component
     out = each.join(copies, "sid", "left").select("doc_id", "n", F.coalesce("_least", "doc_id").alias("component"))
