@@ -56,7 +56,7 @@ def greedy_top_k(items: DataFrame, target: int, max_per_repo: int, repo_penalty:
         return pd.DataFrame(out, columns=[f.name for f in schema])
 
     two = items.withColumn("_r", F.row_number().over(Window.partitionBy(instance).orderBy(F.desc(score), idx))).where("_r <= 2").drop("_r")
-    return two.groupBy(F.lit(1)).applyInPandas(walk, schema)
+    return two.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(walk, schema)
 
 
 def target_size(keep: float, n: int) -> int:
@@ -85,7 +85,7 @@ def nearest_rank(df: DataFrame, value: str, percents: Sequence[int] = (0, 10, 25
 
 def hash_mod(column: str, modulus: int = 1000) -> Column:
     """The MD5 of a text as a 128-bit number, modulo ``modulus``: a fold over its hexadecimal digits."""
-    return F.expr(f"aggregate(sequence(1, 32), 0, (a, i) -> cast((a * 16 + instr('0123456789abcdef', substring(md5({column}), i, 1)) - 1) % {modulus} as int))")
+    return F.expr(f"aggregate(split(md5({column}), ''), 0, (_a, _h) -> cast((_a * 16 + instr('0123456789abcdef', _h) - 1) % {modulus} as int))")
 
 
 def hash_split(df: DataFrame, column: str, fraction: float, into: str = "split") -> DataFrame:
