@@ -151,3 +151,25 @@ def text_of(column: Column) -> Column:
     """Content that is a text or JSON parts, as text."""
     parts = F.from_json(column, "array<struct<text:string>>")
     return F.coalesce(F.when(column.startswith("["), F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")), column, F.lit(""))
+
+
+def any_requests(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """label and body (JSON) of the requests in a file: JSON lines, a list, a map of labels, or one request.
+
+    A request under the key body is unwrapped, and one without messages left out. Lines and list items
+    have the file's stem and their number as label; repeated labels get #2, #3, ...
+    """
+    stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    if path.endswith(".jsonl"):
+        each = numbered_lines(spark, path).where("trim(value) <> ''").select(F.col("row").alias("ordinal"), F.concat(F.lit(f"{stem}:"), (F.col("row") + 1).cast("string")).alias("label"), F.parse_json("value").alias("v"))
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+        listed = F.schema_of_variant("v").startswith("ARRAY")
+        single = F.try_variant_get("v", "$.messages", "variant").isNotNull() | F.try_variant_get("v", "$.body", "variant").isNotNull()
+        one = whole.where(~listed & single).select(F.lit(0).alias("ordinal"), F.lit(stem).alias("label"), "v")
+        many = whole.where(listed | ~single).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("pos").alias("ordinal"), F.coalesce("key", F.concat(F.lit(f"{stem}:"), (F.col("pos") + 1).cast("string"))).alias("label"), F.col("value").alias("v"))
+        each = one.union(many)
+    body = F.when(F.try_variant_get("v", "$.messages", "variant").isNull(), F.try_variant_get("v", "$.body", "variant")).otherwise(F.col("v"))
+    kept = each.select("ordinal", "label", body.alias("v")).where("size(try_variant_get(v, '$.messages', 'array<variant>')) > 0")
+    out = labelled(kept.select("ordinal", "label", F.to_json("v").alias("body")))
+    return first_rows(out, limit) if limit else out
