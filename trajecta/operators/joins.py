@@ -37,23 +37,21 @@ def sequenced_match(left: DataFrame, right: DataFrame, key: str, left_order: str
     """Per key, each left row in order takes the next unused right row whose ``match`` columns are equal.
 
     A left row without a match takes none and uses none. Adds ``carry`` of the matched right row and matched.
-    Only the compared columns and row numbers of a key meet in one task; a key's rows must fit it.
+    A fold over the key's two sorted arrays of compared values and row numbers, so those must fit a row.
     """
-    a = left.select(key, left_order, *match)
-    b = right.select(key, right_order, *match)
-
-    def one(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values(left_order), y.sort_values(right_order)
-        wanted, offered = list(zip(*(x[c] for c in match))), list(zip(*(y[c] for c in match)))
-        at, took = 0, []
-        for w in wanted:
-            found = next((i for i in range(at, len(offered)) if offered[i] == w), None)
-            took.append(None if found is None else int(y[right_order].iloc[found]))
-            at = at if found is None else found + 1
-        return pd.DataFrame({key: x[key], left_order: x[left_order], "_took": pd.array(took, "Int64")})
-
-    kinds = dict(left.dtypes)
-    pairs = a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(one, f"{key} {kinds[key]}, {left_order} {kinds[left_order]}, _took long")
+    listed = lambda df, order, into: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(F.struct(*match)).alias("m")))).alias(into))
+    both = listed(left, left_order, "_l").join(listed(right, right_order, "_r"), key, "left").withColumn("_offered", F.coalesce(F.transform("_r", lambda x: x["m"]), F.array().cast("array<string>")))
+
+    def step(state: Column, wanted: Column) -> Column:
+        rest = F.slice("_offered", state["used"] + 1, F.size("_offered"))
+        at = F.array_position(rest, wanted["m"]).cast("int")
+        took = F.when(at > 0, F.get(F.col("_r"), state["used"] + at - 1)["o"])
+        return F.struct((state["used"] + at).alias("used"), F.concat(state["took"], F.array(took)).alias("took"))
+
+    kinds = dict(right.dtypes)
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<{kinds[right_order]}>").alias("took"))
+    pairs = both.select(key, F.explode(F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias("o"), F.aggregate("_l", start, step, lambda s: s["took"]).alias("took"))).alias("p"))
+    pairs = pairs.select(key, F.col("p.o").alias(left_order), F.col("p.took").alias("_took"))
     found = pairs.join(right.select(F.col(key).alias("_key"), F.col(right_order).alias("_order"), carry), (F.col(key) == F.col("_key")) & (F.col("_took") == F.col("_order")), "left")
     return left.join(found.select(key, left_order, carry, F.col("_took").isNotNull().alias("matched")), [key, left_order], "left")
 
