@@ -53,12 +53,15 @@ def running_roles(log: DataFrame) -> DataFrame:
 def attributed(calls: DataFrame, tasks: DataFrame, slack_s: int = 2, late: str = "10 minutes") -> DataFrame:
     """Stream-stream join of calls (at) to tasks (started, ended: timestamps) with slack; watermarks bound the state.
 
-    The task's end is no later than an hour behind its start, which lets calls go from the state.
+    Like the batch range join it is an equality on time slots (of an hour) with the range as a residue, as
+    such joins need one. A task is taken to last an hour at most, which lets calls go from the state.
     """
-    c = calls.withWatermark("at", late)
-    t = tasks.withWatermark("ended", late)
-    near = f"at >= started - interval {slack_s} seconds and at <= ended + interval {slack_s} seconds and ended <= at + interval 1 hour"
-    return c.join(t, F.expr(near))
+    hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
+    slack = F.expr(f"interval {slack_s} seconds")
+    c = calls.withWatermark("at", late).withColumn("_slot", hour(F.col("at")))
+    t = tasks.withWatermark("ended", late).withColumn("_of", F.explode(F.sequence(hour(F.col("started") - slack), hour(F.col("ended") + slack))))
+    near = f"_slot = _of and at >= started - interval {slack_s} seconds and at <= ended + interval {slack_s} seconds and ended <= at + interval 1 hour"
+    return c.join(t, F.expr(near)).drop("_slot", "_of")
 
 
 def idle_sessions(calls: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
