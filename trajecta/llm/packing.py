@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +22,8 @@ from .common import arrow_map, documents, saved
 
 #: Tokens of a sequence; the id that ends a document.
 SIZE, END = 2048, 0
-#: Slots that a length's ranks are dealt over, so that no task ranks one length alone.
-SALTS = 64
+#: Slots that a length's ranks are dealt over at least, and rows for which there is one more, so that no task ranks one length alone.
+SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, text: str = "text") -> DataFrame:
@@ -50,52 +51,63 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     out: list[tuple[tuple[int, ...], int]] = []
     if size in left:
         out.append(((size,), left.pop(size)))
-    top = max(left, default=0)
-    spread: list[tuple[int, ...]] = []
+    # bit n of `have` tells whether length n is left, bit size - n of `mirror` the same: lengths a and sum - a that
+    # are both left are the common bits of `have` and the mirror moved by the sum
+    have = sum(1 << n for n in left)
+    mirror = sum(1 << (size - n) for n in left)
 
     def use(pattern: tuple[int, ...]) -> None:
-        need = {n: pattern.count(n) for n in pattern}
+        nonlocal have, mirror
+        need = Counter(pattern)
         times = min(left[n] // k for n, k in need.items())
         for n, k in need.items():
             left[n] -= k * times
             if not left[n]:
                 del left[n]
+                have ^= 1 << n
+                mirror ^= 1 << (size - n)
         out.append((pattern, times))
 
     def there(*lengths: int) -> bool:
         return all(left.get(n, 0) >= lengths.count(n) for n in lengths)
 
+    def pair(total: int, most: int, *others: int) -> tuple[int, int] | None:
+        """The two lengths left that sum up to ``total``, the longer one as long as can be but ``most``."""
+        if total < 2:
+            return None
+        common = have & (mirror >> (size - total)) & ((1 << (min(most, total) + 1)) - 1)
+        while (a := common.bit_length() - 1) >= (total + 1) // 2:
+            if there(*others, a, total - a):
+                return a, total - a
+            common ^= 1 << a
+        return None
+
     def exact(long: int) -> tuple[int, ...] | None:
         gap = size - long
         if there(long, gap):
             return long, gap
-        least = min(left)
-        for a in range(min(gap - least, top), (gap + 1) // 2 - 1, -1):
-            if a in left and gap - a in left and there(long, a, gap - a):
-                return long, a, gap - a
-        for a in range(min(gap - 2 * least, top), (gap + 2) // 3 - 1, -1):
-            if a not in left:
-                continue
-            rest = gap - a
-            for b in range(min(a, rest - least), (rest + 1) // 2 - 1, -1):
-                if b in left and rest - b in left and there(long, a, b, rest - b):
-                    return long, a, b, rest - b
+        if two := pair(gap, gap, long):
+            return long, *two
+        firsts = have & ((1 << max(gap - 1, 0)) - 1)
+        while (a := firsts.bit_length() - 1) >= max(1, (gap + 2) // 3):
+            if two := pair(gap - a, a, long, a):
+                return long, a, *two
+            firsts ^= 1 << a
         return None
 
     # from the longest down: the hardest to place choose first, and prefer few and long partners
-    for long in range(top, 0, -1):
-        while long in left:
-            found = exact(long)
-            if found is None:
-                break
+    for long in sorted(left, reverse=True):
+        while long in left and (found := exact(long)):
             use(found)
     # residuals: best fit, still by counts: the longest length opens a sequence, and the longest that fits joins it until none does
     while left:
-        pattern, gap = [max(left)], size - max(left)
-        while (fit := next((n for n in range(min(gap, top), 0, -1) if left.get(n, 0) > pattern.count(n)), 0)) and gap:
-            pattern.append(fit)
-            gap -= fit
-        spread.append(tuple(pattern))
+        first = max(left)
+        pattern, gap, taken = [first], size - first, Counter([first])
+        for n in sorted(left, reverse=True):
+            if n <= gap and (k := min(gap // n, left[n] - taken[n])) > 0:
+                pattern += [n] * k
+                gap -= n * k
+                taken[n] += k
         use(tuple(pattern))
     return out
 
@@ -107,7 +119,8 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     rows and ties are told apart by rank only. No rows give no rows.
     """
     parts = saved(parts)
-    tagged = parts.withColumn("_salt", F.expr(f"pmod(xxhash64(doc_id, piece), {SALTS})"))
+    salts = max(SALTS, parts.count() // SALT_ROWS)
+    tagged = parts.withColumn("_salt", F.expr(f"pmod(xxhash64(doc_id, piece), {salts})"))
     by_slot = tagged.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     slots = by_slot.select("length", "_salt", "n", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     counts = {r["length"]: r["n"] for r in by_slot.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
@@ -122,7 +135,7 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     # Where a length's ranks go: each step of the plan empties a length, so its rows are bounded by `size`, not by the corpus.
     places = parts.sparkSession.createDataFrame(use, "length long, _from long, _to long, _base long, offset long")
     grouped = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_base", "offset"))).alias("_places"))
-    ranked = tagged.join(F.broadcast(slots.select("length", "_salt", "_before")), ["length", "_salt"]).withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1 + F.col("_before"))
+    ranked = tagged.join(slots.select("length", "_salt", "_before"), ["length", "_salt"]).withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1 + F.col("_before"))
     placed = ranked.join(F.broadcast(grouped), "length").withColumn("_p", F.expr("filter(_places, p -> _rank >= p._from and _rank < p._to)[0]"))
     return placed.select(*parts.columns, (F.col("_p._base") + F.col("_rank") - F.col("_p._from")).alias("sequence_id"), F.col("_p.offset").alias("offset"))
 
