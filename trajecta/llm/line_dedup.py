@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, saved
 
 #: Lines of a window: runs from this length on are found without fail.
 WINDOW = 3
@@ -45,10 +45,11 @@ def fingerprints(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, _h, s: windows whose lines occur earlier, in the order of doc_id (null last), text hash and line."""
     found = fingerprints(docs, text, window)
-    several = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    windows = found.join(several, "fp", "left_semi").select("doc_id", "_h", F.explode("windows").alias("x")).select("doc_id", "_h", "x.s", "x.g").distinct()
+    # written first: a join whose sides both come from an exchange is one whose crowded parts Spark splits
+    several = saved(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    windows = saved(found.join(several, "fp", "left_semi").select("doc_id", "_h", F.explode("windows").alias("x")).select("doc_id", "_h", "x.s", "x.g").distinct())
     order = "struct(doc_id is null as o, doc_id as d, _h as h, s as s)"
-    first = windows.groupBy("g").agg(F.expr(f"min({order})").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
+    first = saved(windows.groupBy("g").agg(F.expr(f"min({order})").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first"))
     return windows.join(first, "g").where(F.expr(f"{order} > first")).select("doc_id", "_h", "s")
 
 
@@ -58,17 +59,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", window: int = WINDOW) -> Da
     Lines are parted by U+000A and compared exactly. The first occurrence in the order of doc_id stays;
     runs within one text count too. A null text stays null and an empty one empty; a text whose lines all go
     becomes empty; texts without repeated runs stay as they are. Rows with equal doc_id and text are one
-    document and lose the same lines. Other columns stay; names that start with an underscore and
-    n_lines_removed are the operator's.
+    document and lose the same lines. Other columns stay, except that one named n_lines_removed gives way.
     """
-    gone = repeated_windows(docs, text, window).groupBy("doc_id", "_h").agg(F.expr(f"array_distinct(flatten(transform(collect_set(s), s -> sequence(s, s + {window - 1}))))").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_hash"), "_gone")
-    lined = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = lined.join(gone, F.expr("_h = _hash and doc_id <=> _doc"), "left")
-    # `_lines` has two readers, so the optimiser keeps it as a column instead of splitting the text anew for every line.
-    split = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')"))
-    return split.select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_lines_removed"))
+    own = {n: f"_trajecta_{n}" for n in ("hash", "doc", "h", "gone", "lines")}
+    gone = repeated_windows(docs, text, window).groupBy("doc_id", "_h").agg(F.expr(f"array_distinct(flatten(transform(collect_set(s), s -> sequence(s, s + {window - 1}))))").alias(own["gone"]))
+    gone = gone.select(F.col("doc_id").alias(own["doc"]), F.col("_h").alias(own["h"]), own["gone"])
+    joined = docs.withColumn(own["hash"], F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(gone, F.expr(f"{own['hash']} = {own['h']} and doc_id <=> {own['doc']}"), "left")
+    # the lines have two readers, so the optimiser keeps them as a column instead of splitting the text anew for every line
+    split = joined.withColumn(own["lines"], F.when(F.col(own["gone"]).isNotNull(), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)))
+    cleaned = F.when(F.col(own["gone"]).isNull(), F.col(text)).otherwise(F.expr(f"array_join(transform(array_except(sequence(0, size({own['lines']}) - 1), {own['gone']}), i -> {own['lines']}[i]), '\n')"))
+    kept = [c for c in docs.columns if c != "n_lines_removed"]
+    return split.select(*(cleaned.alias(c) if c == text else F.col(c) for c in kept), F.coalesce(F.size(own["gone"]), F.lit(0)).alias("n_lines_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
