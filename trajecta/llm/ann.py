@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, saved
+from .common import arrow_map, hashed_sample, saved
 
 #: Rows that the tree is fitted on at most; children of a node; leaves at most; queries that calibrate.
 SAMPLE, BRANCH, LEAVES, CALIBRATORS = 20_000, 16, 4096, 128
@@ -124,7 +124,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
     """
     spark = embeddings.sparkSession
     rows = saved(usable(embeddings, id_column, vector))
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()  # at most `sample` rows
+    taken = hashed_sample(rows, "id", sample).select("v").collect()  # at most `sample` rows
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not taken:
         return spark.createDataFrame([], out_schema)
@@ -189,7 +189,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float =
 
 def calibrated(placed: DataFrame, asked: DataFrame, tree: Tree, held: np.ndarray, k: int, recall: float, calibrators: int = CALIBRATORS) -> int:
     """The least number of leaves that holds ``recall`` of the true neighbours of a bounded sample of queries, over all rows."""
-    some = asked.orderBy(F.xxhash64("id"), "id").limit(calibrators).select("id", "v").collect()  # at most `calibrators` rows
+    some = hashed_sample(asked, "id", calibrators).select("id", "v").collect()  # at most `calibrators` rows
     if not some:
         return 1
     ids, queries = np.array([r["id"] for r in some]), np.array([r["v"] for r in some])

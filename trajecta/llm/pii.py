@@ -185,7 +185,7 @@ def _ssn(text: str) -> bool:
     return text[:3] not in ("000", "666") and text[0] != "9" and text[4:6] != "00" and text[7:] != "0000"
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _kept(kind: str, found: str, key: bytes) -> str:
     return surrogate(kind, found, key)
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, saved
+from .common import arrow_map, documents, hashed_sample, saved
 
 #: Labelled rows that a model is fitted on at most, and preference pairs made of them.
 SAMPLE, PAIRS = 20_000, 200_000
@@ -116,7 +116,7 @@ def train(scored: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     are labelled, those with the least hash of doc_id are taken.
     """
     told = labels.where(f"quality in (0, 1) and crc32(cast(doc_id as string)) % {FOLDS} <> {HELD_OUT}").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
-    taken = scored.join(told.select("doc_id", "quality"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).select("features", "quality").collect()  # at most `sample` rows
+    taken = hashed_sample(saved(scored.join(told.select("doc_id", "quality"), "doc_id")), "doc_id", sample, "features").select("features", "quality").collect()  # at most `sample` rows
     return fit(np.array([r["features"] for r in taken], dtype=float), np.array([r["quality"] for r in taken]))
 
 
