@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, documents
 
 #: Bytes on both sides that a boundary's hash must exceed; the longest chunk; the shortest repeated run that is reported.
-RADIUS, LONGEST, SHORTEST = 32, 1024, 64
+RADIUS, LONGEST, SHORTEST = 24, 1024, 48
 NO_ID = (1 << 63) - 1
 #: The gear table: 256 numbers of 32 bits by rule.
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
@@ -50,7 +50,18 @@ def boundaries(raw: bytes, radius: int = RADIUS, longest: int = LONGEST) -> np.n
         most = np.maximum(most[: len(most) - width], most[width:])
         width *= 2
     span = lambda at: np.maximum(most[at : at + n], most[at + radius - width : at + radius - width + n])  # noqa: E731  greatest of `radius` values
-    cut = np.flatnonzero((h > span(0)) & (h >= span(radius + 1))) + 1
+    left, right = span(0), span(radius + 1)
+    loose = np.flatnonzero((h >= left) & (h >= right)) + 1
+    strict = h[loose - 1] > left[loose - 1]
+    if strict.all():
+        cut = loose
+    else:  # in content that repeats itself, equal greatest values end chunks too, so far apart that steps are whole periods
+        taken, last = [], 0
+        for at, single in zip(loose.tolist(), strict.tolist()):
+            if single or at - last > radius:
+                taken.append(at)
+                last = at
+        cut = np.array(taken, np.int64)
     cut = cut[(cut > radius) & (cut < n)]  # the start of a text is no greatest value's neighbour
     ends = np.append(cut, n)
     gaps = np.diff(ends, prepend=0)
@@ -117,16 +128,17 @@ def dedup_substrings(docs: DataFrame, text: str = "text", shortest: int = SHORTE
     The document with the least doc_id keeps a passage, and within a document its first occurrence stays.
     Spans are widened inward to whole characters. Rows with an equal doc_id are one document: between them
     nothing is repeated, and the spans found in any of them are cut only where the text is that long. Null
-    texts stay null; no rows give no rows; other columns stay.
+    texts stay null; no rows give no rows; other columns stay, except that one named spans gives way.
     """
-    spans = repeated_spans(docs, text, shortest)
-    joined = docs.join(spans.select(F.col("doc_id").alias("_doc"), "spans"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
+    kept = [c for c in docs.columns if c != "spans"]
+    found = repeated_spans(docs, text, shortest).select(F.col("doc_id").alias("_trajecta_doc"), "spans")
+    joined = docs.select(*kept).join(found, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_trajecta_doc"), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_without(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    return joined.select(*(F.when(F.col("spans").isNull(), F.col(c)).otherwise(cut(text, "spans")).alias(c) if c == text else F.col(c) for c in docs.columns), "spans")
+    return joined.select(*(F.when(F.col("spans").isNull(), F.col(c)).otherwise(cut(text, "spans")).alias(c) if c == text else F.col(c) for c in kept), "spans")
 
 
 def _without(text: str | None, spans) -> str | None:
