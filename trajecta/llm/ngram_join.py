@@ -8,9 +8,10 @@ answers are derived from those of similar sets: sets that are already connected
 at again, and parity bitmaps of both sets bound their difference, so a set that is far from it goes
 without a look at its shingles. What is left is verified on whole sets.
 
-Round one takes per list a spanning forest of pairs that the bitmap cannot tell apart; round two takes, in
-lists where such a pair was no link, all pairs between sets that are still unconnected. Both are exact
-filters, so no link between components is lost, and the pairs stay linear in lists whose sets are connected.
+Round one takes per list a spanning forest of pairs that the bitmap cannot tell apart. Lists in which such a
+pair was no link go to round two, a forest by finer bitmaps in which pairs just under the threshold show, and
+from there, if need be, to round three: all pairs of sets that are still unconnected. Each is an exact filter,
+so no link between components is lost, and pairs stay about linear in the lists even of a large group.
 """
 
 from __future__ import annotations
@@ -68,9 +69,15 @@ class Shingler:
         return np.unique(out)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Bit i is the parity of the elements that fall to i; the count of differing bits of two such bitmaps is at most the sets' difference."""
-    bits = max(64, 1 << (len(shingles) // 2).bit_length())
+def bitmap(shingles: np.ndarray, percent: int = 0) -> bytes:
+    """Bit i is the parity of the elements that fall to i; the count of differing bits of two such bitmaps is at most the sets' difference.
+
+    Half a bit to one for each element; with ``percent`` about as many as half the square of the largest difference
+    of linked sets (16 to 32 an element at most), so that hardly any two elements of a difference share a bit.
+    """
+    n = len(shingles)
+    differ = 2 * n * (100 - percent) // max(percent, 1)
+    bits = max(64, 1 << (min(differ * differ // 2, 16 * n) if percent else n // 2).bit_length())
     return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -106,13 +113,19 @@ def describe(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def order(described: DataFrame) -> np.ndarray:
-    """The rank (0 to 255) of each shingle bucket by how many documents its shingles are in; a fixed 2**18 numbers."""
-    import pandas as pd
+    """The rank (0 to 255) of each shingle bucket by how many documents its shingles are in; a fixed 2**18 numbers.
 
-    def add(key: tuple, given: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [key[0]], "counts": [sum((np.frombuffer(x, np.int64) for x in given["counts"]), np.zeros(1 << PART_BITS, np.int64)).tobytes()]})
+    The tasks' counts are summed as they stream by, so a part is never held as a group.
+    """
 
-    parts = described.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    def summed(given: Iterator[tuple]):
+        sums: dict[int, np.ndarray] = {}
+        for part, counts in given:
+            sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
+        for part, counts in sums.items():
+            yield part, counts.tobytes()
+
+    parts = arrow_map(described.where("part is not null").select("part", "counts").repartition("part"), ["part", "counts"], "part int, counts binary", summed).collect()  # 2**18 numbers in all
     counts = np.zeros(1 << ORDER_BITS, np.int64)
     for r in parts:
         counts[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["counts"], np.int64)
@@ -241,11 +254,26 @@ def _of_list(entries: list[tuple], percent: int, forest: bool, cross: bool) -> I
         first[1].setdefault(x[1], []).append(x)
 
 
+def _texts(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (id, distinct), a null doc_id as the largest number."""
+    few = ids.count() <= SMALL  # 8 MB at most are broadcast; beyond, both sides shuffle
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
+def fine_bitmaps(docs: DataFrame, ids: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
+    """id and bits of the given documents, in bitmaps that tell sets just under the threshold apart."""
+
+    def rows(given: Iterator[tuple]):
+        shingles = Shingler(size)
+        for doc_id, value in given:
+            yield doc_id, bitmap(shingles(value), percent)
+
+    return saved(arrow_map(_texts(docs, ids, text), ["doc_id", text], "id long, bits binary", rows))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
     """The pairs a, b of doc_ids whose whole sets are linked."""
-    ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = ids.count() <= SMALL  # 8 MB at most are broadcast; beyond, both sides shuffle
-    held = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    held = _texts(docs, saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), text)
 
     def sets(given: Iterator[tuple]):
         shingles = Shingler(size)
@@ -281,17 +309,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     pairs = saved(_candidates(entries.withColumn("comp", F.col("id")), bits, percent, True, cell))
     links = saved(verified(pairs, docs, size, percent, text))
     labels = components(links)
-    # In a list, pairs across the forest's trees are too far apart, and within a tree connected, if its pairs are
-    # links. So only lists with a pair that turned out to be none need the second round.
-    wrong = pairs.join(links, ["a", "b"], "left_anti")
-    open_ids = saved(wrong.select(F.col("a").alias("id")).union(wrong.select("b")).distinct())
-    if not open_ids.isEmpty():
+    # In a list, pairs across the forest's trees are too far apart, and within a tree connected, if its pairs are links;
+    # lists with a pair that turned out to be none go on: to a forest by fine bitmaps, then to all pairs.
+    tried, wrong = pairs, pairs.join(links, ["a", "b"], "left_anti")
+    for forest in (True, False):
+        open_ids = saved(wrong.select(F.col("a").alias("id")).union(wrong.select("b")).distinct())
+        if open_ids.isEmpty():
+            break
         again = entries.join(entries.join(open_ids, "id", "left_semi").select("token").distinct(), "token", "left_semi")
-        again = again.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-        more = saved(_candidates(again, bits, percent, False, cell).join(pairs, ["a", "b"], "left_anti"))
-        more = saved(verified(more, docs, size, percent, text))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        again = saved(again.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"))
+        fine = fine_bitmaps(docs, saved(again.select("id").distinct()), size, percent, text)
+        pairs = saved(_candidates(again, fine, percent, forest, cell))
+        links = saved(links.union(verified(saved(pairs.join(tried, ["a", "b"], "left_anti")), docs, size, percent, text)).distinct())
+        tried, wrong = tried.union(pairs), pairs.join(links, ["a", "b"], "left_anti")
+        labels = components(links)
     copies = sets.join(labels.withColumnRenamed("v", "id"), "id", "left").select("sid", F.coalesce("label", "id").alias("_least"))
     # one doc_id may stand for several texts: its rows share the least component
     out = each.join(copies, "sid", "left").select("doc_id", "n", F.coalesce("_least", "doc_id").alias("component"))
@@ -301,9 +332,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least doc_id, and documents without shingles."""
-    gone = saved(jaccard_components(docs.select("doc_id", text), size, percent, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.expr("doc_id <=> _gone"), "left_anti")
+    gone = saved(jaccard_components(docs.select("doc_id", text), size, percent, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_trajecta_gone")).distinct())
+    return docs.join(gone, F.expr("doc_id <=> _trajecta_gone"), "left_anti")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), 3, 90)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT c.v AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.u AS component_id FROM (SELECT v, min(u) AS u FROM r GROUP BY v) c LEFT JOIN n ON n.doc_id = c.v
+"""

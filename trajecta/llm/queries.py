@@ -10,7 +10,7 @@ from .ann import op3_kmeans_tree_search
 from .bpe import op1_token_counts, op10_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP7_SQL, op7_line_dedup
-from .ngram_join import op9_ngram_jaccard_join
+from .ngram_join import OP9_SQL, op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .pii import op5_pii_surrogates
 from .quality import op8_quality_classifier
@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op2_exact_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_exact_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_ngram_jaccard_join": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
