@@ -103,14 +103,15 @@ def exact_groups(docs: DataFrame, text: str = "text", block: int = BLOCK, bits:
     named = saved(name_documents(docs, text, block, bits))
     key = [F.col("n_bytes"), F.coalesce("name", F.lit(-1)).alias("name")]
     named = named.select("doc_id", "text_sha256", *key)
-    groups = named.groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written first: a join whose sides both come from an exchange is one whose crowded parts Spark splits
+    groups = saved(named.groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     return named.join(groups, ["n_bytes", "name"]).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one of each group of equal normalised texts."""
     keep = exact_groups(docs.select("doc_id", text), text).where("kept").select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.expr("doc_id <=> _keep"), "left_semi")
+    return docs.join(keep.withColumnRenamed("doc_id", "_trajecta_keep"), F.expr("doc_id <=> _trajecta_keep"), "left_semi")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
