@@ -17,7 +17,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, arrow_map, documents
+from .common import Cache, arrow_map, documents, saved
 
 #: Characters of a chunk, and of the part that it shares with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -132,7 +132,7 @@ class WordBpe:
         self.latin = re.compile(r"[\x21-Ȱ]+").fullmatch
         model = self.whole.model.tokenize
         self.words = Cache(lambda w: array("I", [t.id for t in model(w.encode().decode("latin-1").translate(self.table))]).tobytes())
-        self.parts = Cache(self._part, 600_000)
+        self.parts = Cache(self._part, 300_000)
 
     def _part(self, part: str) -> bytes:
         if not part:
@@ -192,16 +192,16 @@ def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return arrow_map(docs, ["doc_id", text], "doc_id long, n_tokens long", rows)
 
 
-def length_histogram(lengths: DataFrame, block: int = 4096) -> DataFrame:
+def length_histogram(lengths: DataFrame, block: int = 256) -> DataFrame:
     """The exact histogram of n_tokens with suffix sums: a row for each length that occurs.
 
     docs and tokens have that length; docs_at_least and tokens_at_least are suffix sums; truncated_tokens
     is what all documents keep under a context limit of n_tokens; docs_up_to gives quantiles (the q-quantile
     is the least length with docs_up_to >= q * all documents). Null lengths are left out; no rows give no
     rows. Sums go by blocks of lengths first, so no task sees all lengths: one row per block meets in
-    one task, and each block's rows in another.
+    one task, and each block's rows in another. The histogram itself is written, so texts are encoded once.
     """
-    hist = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("block", F.expr(f"n_tokens div {block}")).withColumn("tokens", F.col("docs") * F.col("n_tokens"))
+    hist = saved(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("docs"))).withColumn("block", F.expr(f"n_tokens div {block}")).withColumn("tokens", F.col("docs") * F.col("n_tokens"))
     total = hist.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
