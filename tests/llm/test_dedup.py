@@ -16,7 +16,7 @@ WORDS = [f"w{i}" for i in range(40)]
 
 def documents(spark, rows, extra=True):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return df.withColumn("name", F.lit("clash")).withColumn("rank", F.lit(1)).withColumn("_h", F.lit(2)) if extra else df
+    return df.withColumn("name", F.lit("clash")).withColumn("rank", F.lit(1)).withColumn("_h", F.lit(2)).withColumn("spans", F.lit(3)).withColumn("n_lines_removed", F.lit(4)).withColumn("_gone", F.lit(5)) if extra else df
 
 
 def normal(text):
@@ -44,7 +44,7 @@ def test_exact_groups(spark, bits, block):
 
 def test_exact_dedup_keeps_columns(spark):
     out = exact_dedup.dedup(documents(spark, [(2, "a"), (1, "a"), (3, "b")]))
-    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3] and out.columns == ["doc_id", "text", "name", "rank", "_h"]
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3] and out.columns == documents(spark, []).columns
 
 
 def lines_left(rows, window=3):
@@ -71,7 +71,8 @@ def test_line_dedup(spark):
     texts += [f"x\n{block}\ny", f"{block}\n{block}", block, "p\n" + block, "\n\n\n\n", "", None, block]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, "q\n" + block)]
     want = lines_left(rows)
-    out = line_dedup.dedup_lines(documents(spark, rows, extra=False).withColumn("tag", F.col("doc_id"))).collect()
+    out = line_dedup.dedup_lines(documents(spark, rows)).collect()
+    assert {(r["_h"], r["_gone"], r["name"]) for r in out} == {(2, 5, "clash")}
     assert len(out) == len(rows)
     assert Counter((r["doc_id"], r["text"] or "", r["n_lines_removed"]) for r in out) == Counter((i, *want[i, t]) for i, t in rows)
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
@@ -157,9 +158,10 @@ def test_bitmaps_bound_the_difference():
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 300)).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, rng.integers(1, 40)).astype(np.uint64)]))
-        x, y = ngram_join.bitmap(a), ngram_join.bitmap(b)
-        low = ngram_join.apart(int.from_bytes(x, "little"), 8 * len(x), int.from_bytes(y, "little"), 8 * len(y))
-        assert low <= len(np.setxor1d(a, b))
+        for percent in (0, 80, 90):
+            x, y = ngram_join.bitmap(a, percent), ngram_join.bitmap(b, percent)
+            low = ngram_join.apart(int.from_bytes(x, "little"), 8 * len(x), int.from_bytes(y, "little"), 8 * len(y))
+            assert low <= len(np.setxor1d(a, b))
 
 
 def test_components_of_a_long_chain(spark):

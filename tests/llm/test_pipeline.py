@@ -56,3 +56,37 @@ def test_sql_agrees(spark):
         names = [x[0] for x in said.description]
         assert sorted(names) == sorted(df.columns)
         assert sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(str, r)) for r in said.fetchall())
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    import shutil
+    import zlib
+
+    import numpy as np
+    from test_dedup import jaccard, lines_left
+    from tokenizers import Tokenizer
+
+    from trajecta.llm import bpe, quality
+
+    shutil.copy(f"{DATA}/labels.parquet", tmp_path / "labels.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = quality.train(quality.with_features(docs), spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if model.score(quality.features(r["text"])) >= 0.5]
+    left = lines_left(rows)
+    rows = [(i, left[i, t][0]) for i, t in rows]
+    components, _ = jaccard(rows, 5, 80)
+    tok = Tokenizer.from_file(bpe.vocabulary("word_bpe_49k.json"))
+    want = set()
+    for i, t in rows:
+        if components[i] == i:
+            ids = np.array(tok.encode(pii.masked(t)[0], add_special_tokens=False).ids + [0], "<u4")
+            want |= {(i, n, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for n, a in enumerate(range(0, len(ids), 2048))}
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    places: dict = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
