@@ -102,6 +102,24 @@ def test_masked_texts(spark):
     assert pii.surrogates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lead", ['token = "', 'TOKEN = "', 'token="', 'Token: "', '"access_token": "', "token='", "token=", "token:\t"])
+@pytest.mark.parametrize("secret", ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "Zx9_-aB3/kLm+012", "eyJhbGciOiJI.eyJzdWIiOiIx"])
+def test_token_forms(lead, secret):
+    end = lead[-1] if lead[-1] in "\"'" else ""
+    out, found = pii.masked(f"x {lead}{secret}{end}. y")
+    made = out[len(f"x {lead}") : len(out) - len(f"{end}. y")]
+    assert out == f"x {lead}{made}{end}. y" and [x[:4] for x in found] == [("secret", 2 + len(lead), len(secret), secret)]
+    assert made != secret and len(made) == len(secret)
+    if "A8EC" in secret.upper():
+        assert re.fullmatch(r"[0-9A-F]{40}" if secret.isupper() else r"[0-9a-f]{40}", made)
+
+
+def test_short_or_unnamed_tokens_stay():
+    for text in ("token = x", "tokens are counted: 12 of them", "the token: a small thing"):
+        assert pii.masked(text) == (text, [])
+    assert [x[0] for x in pii.masked("token: a.long.local.part@mail.example.org")[1]] == ["email"]
+
+
 def test_ranking_fits_and_holds_out(spark):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choices(["the", "quiet", "river", "runs", "far", "from", "here"], k=60)) + "."

@@ -46,7 +46,7 @@ def _any(words) -> str:
 #: What is detected, in order of precedence.
 PATTERNS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
-    ("secret", r"(?<=token = \")[A-Za-z0-9_/+=-]{16,}(?=\")|(?i:(?<=password: )|(?<=password=)|(?<=api_key=)|(?<=secret=))[^\s\"']{8,}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b"),
+    ("secret", r"(?i:token[\"']?[ \t]*[=:][ \t]*[\"']?(?P<token>(?![\w.+-]*@)[a-z0-9_/+=.~-]{15,}[a-z0-9_/+=-])|(?:(?<=password: )|(?<=password=)|(?<=api_key=)|(?<=secret=))[^\s\"']{8,})|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ipv6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"),
@@ -63,8 +63,8 @@ MAYBE = re.compile(r"[@\d=:]|sk-|AKIA|gh[pousr]_")
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _PLACE = {c: (letters, i) for letters in _CLASSES for i, c in enumerate(letters)}
-#: Hexadecimal digits are one class where a secret holds nothing else.
-_HEX = {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
+#: Hexadecimal digits of one case are one class where a secret holds nothing else.
+_HEX, _HEX_UPPER = ({c: (letters, i) for i, c in enumerate(letters)} for letters in ("0123456789abcdef", "0123456789ABCDEF"))
 #: Prefixes that tell a secret's type, and stay.
 _PREFIXES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 
@@ -172,10 +172,15 @@ def surrogate(kind: str, found: str, key: bytes = KEY) -> str:
     if kind == "secret":
         lead = next((p for p in _PREFIXES if found.startswith(p)), "")
         rest = found[len(lead) :]
-        return lead + reshaped(rest, key, f"secret {lead}", place=_HEX if set(rest) <= set(_HEX) else _PLACE)
+        place = _secret_place(rest)
+        return lead + reshaped(rest, key, f"secret {lead}", lambda x: _secret_place(x) is place, place)  # each class is closed, so results of two never meet
     return reshaped(found, key, kind)
 
 
+def _secret_place(text: str) -> dict:
+    return next((p for p in (_HEX, _HEX_UPPER) if p.keys() >= set(text)), _PLACE)
+
+
 def _iban(text: str) -> bool:
     text = text.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
@@ -201,7 +206,7 @@ def masked(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[s
     if not named and not MAYBE.search(text):
         return text, []
     out, found, at = [], [], 0
-    matches = [(m.lastgroup, m.start(), m[0]) for m in (FIND if named else FIND_NAMELESS).finditer(text)]
+    matches = [(m.lastgroup, m.start("token"), m["token"]) if m["token"] else (m.lastgroup, m.start(), m[0]) for m in (FIND if named else FIND_NAMELESS).finditer(text)]
     if not matches:
         return text, []
     for kind, start, entity in matches:
