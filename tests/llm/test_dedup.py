@@ -107,6 +107,25 @@ def test_substring_dedup_cuts_later_passages(spark):
     assert substring_dedup.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_without_ids(spark):
+    rng = random.Random(9)
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    twice, shared, passage = sentence(60), sentence(60), sentence(60)
+    # what is cut from one text stands at a place where other texts of the same (or no) doc_id hold what is theirs alone
+    rows = [(None, f"{twice} {sentence(9)} {twice}"), (None, sentence(150)), (None, f"{shared} {sentence(30)}"), (None, f"{sentence(40)} {shared}"), (None, f"{sentence(50)} {passage}")]
+    rows += [(7, f"{sentence(12)} {passage}"), (7, sentence(150)), (8, f"{passage} {sentence(80)}"), (8, sentence(160)), (8, "")]
+    out = substring_dedup.dedup_substrings(documents(spark, rows)).collect()
+    assert len(out) == len(rows)
+    left = [r["text"] for r in out]
+    assert rows[1][1] in left and rows[6][1] in left and rows[8][1] in left  # unique texts stay whole
+    for p in (twice, shared, passage):
+        middle = p[len(p) // 3 : len(p) // 2]
+        assert sum(x.count(middle) for x in left) == 1
+    cut = [r for r in out if r["spans"]]
+    assert sorted((r["doc_id"], r["spans"][0]["source"]) for r in cut if r["doc_id"] is not None) == [(8, 7)]
+    assert Counter(r["spans"][0]["source"] for r in cut if r["doc_id"] is None) == Counter([None, None, 7])
+
+
 def jaccard(rows, size, percent):
     sets: dict = {}
     for i, t in rows:

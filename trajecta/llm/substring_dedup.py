@@ -5,7 +5,7 @@ The gear hash at a byte depends on the 32 bytes up to it. A chunk ends where the
 32 + RADIUS bytes behind an insertion. Chunks have more than RADIUS bytes and average twice as many; where
 content repeats so evenly that no greatest value stands out, a chunk ends after LONGEST bytes. Chunks are
 deduplicated by a 128-bit digest: the document with the least doc_id keeps a chunk, and within a document
-its first occurrence.
+its first occurrence. A document is a doc_id with a text, the latter by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from .common import arrow_map, documents
 
 #: Bytes on both sides that a boundary's hash must exceed; the longest chunk; the shortest repeated run that is reported.
 RADIUS, LONGEST, SHORTEST = 24, 1024, 48
-NO_ID = (1 << 63) - 1
 #: The gear table: 256 numbers of 32 bits by rule.
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
 
@@ -70,16 +69,19 @@ def boundaries(raw: bytes, radius: int = RADIUS, longest: int = LONGEST) -> np.n
     return ends
 
 
+def _hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """d1, d2 (the digest), doc_id, start, length, again (the document holds the chunk before), in bytes of UTF-8.
+    """d1, d2 (the digest), doc_id, _h (the text's hash), start, length, again (the document holds the chunk before), in bytes of UTF-8.
 
-    Null and empty texts have no chunks; a null doc_id is the largest number.
+    Null and empty texts have no chunks.
     """
 
     def rows(given: Iterator[tuple]):
-        for doc_id, value in given:
+        for doc_id, h, value in given:
             raw = (value or "").encode("utf-8", "replace")
-            doc_id = NO_ID if doc_id is None else doc_id
             seen, start = set(), 0
             ends = boundaries(raw).tolist()
             digests = []
@@ -89,26 +91,28 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
             pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).tolist()
             start = 0
             for d, (d1, d2), end in zip(digests, pairs, ends):
-                yield d1, d2, doc_id, start, end - start, d in seen
+                yield d1, d2, doc_id, h, start, end - start, d in seen
                 seen.add(d)
                 start = end
 
-    return arrow_map(docs, ["doc_id", text], "d1 long, d2 long, doc_id long, start int, length int, again boolean", rows, flush=50_000)
+    return arrow_map(docs.select("doc_id", _hash(text).alias("_h"), text), ["doc_id", "_h", text], "d1 long, d2 long, doc_id long, _h long, start int, length int, again boolean", rows, flush=50_000)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, spans: sorted structs of start, length and source (the doc_id that keeps the span's first chunk).
+    """doc_id, _h (the text's hash), spans: sorted structs of start, length and source (the doc_id that keeps the span's first chunk).
 
     A span is a run of neighbouring repeated chunks of at least ``shortest`` bytes; bytes count in UTF-8.
     Documents without such a span have no row.
     """
     every = chunks(docs, text)
-    several = every.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).where("source < _last").select("d1", "d2", "source")
-    found = every.join(several, ["d1", "d2"], "left").where("again or doc_id > source")
-    gone = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length", F.coalesce("source", "doc_id").alias("source"))).alias("found"))
+    order = "struct(doc_id is null as o, doc_id as d, _h as h)"  # a null doc_id is the last
+    several = every.where("not again").groupBy("d1", "d2").agg(F.expr(f"min({order})").alias("first"), F.expr(f"max({order})").alias("_last")).where("first < _last").select("d1", "d2", "first")
+    found = every.join(several, ["d1", "d2"], "left").where(f"again or {order} > first")
+    source = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.d"))
+    gone = found.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "length", source.alias("source"))).alias("found"))
 
     def rows(given: Iterator[tuple]):
-        for doc_id, spans in given:
+        for doc_id, h, spans in given:
             runs: list[dict] = []
             for x in sorted(spans, key=lambda x: x["start"]):
                 if runs and runs[-1]["start"] + runs[-1]["length"] >= x["start"]:
@@ -117,22 +121,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", shortest: int = SHORTEST
                     runs.append(dict(x))
             runs = [x for x in runs if x["length"] >= shortest]
             if runs:
-                yield doc_id, runs
+                yield doc_id, h, runs
 
-    return arrow_map(gone, ["doc_id", "found"], "doc_id long, spans array<struct<start:int,length:int,source:bigint>>", rows, flush=2_000)
+    return arrow_map(gone, ["doc_id", "_h", "found"], "doc_id long, _h long, spans array<struct<start:int,length:int,source:bigint>>", rows, flush=2_000)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs`` with repeated spans cut out of the text, and the column spans (null where nothing is cut).
 
-    The document with the least doc_id keeps a passage, and within a document its first occurrence stays.
-    Spans are widened inward to whole characters. Rows with an equal doc_id are one document: between them
-    nothing is repeated, and the spans found in any of them are cut only where the text is that long. Null
-    texts stay null; no rows give no rows; other columns stay, except that one named spans gives way.
+    The document with the least doc_id (null last) keeps a passage, and within a document its first occurrence
+    stays. Spans are widened inward to whole characters. Rows with an equal doc_id and text are one document and lose
+    the same; rows with an equal (or null) doc_id and different texts are documents in the order of the texts'
+    hashes. Null texts stay null; no rows give no rows; other columns stay, except that one named spans gives way.
     """
     kept = [c for c in docs.columns if c != "spans"]
-    found = repeated_spans(docs, text, shortest).select(F.col("doc_id").alias("_trajecta_doc"), "spans")
-    joined = docs.select(*kept).join(found, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_trajecta_doc"), "left")
+    found = repeated_spans(docs, text, shortest).select(F.col("doc_id").alias("_trajecta_doc"), F.col("_h").alias("_trajecta_h"), "spans")
+    joined = docs.select(*kept, _hash(text).alias("_trajecta_hash")).join(found, F.expr("_trajecta_hash = _trajecta_h and doc_id <=> _trajecta_doc"), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
