@@ -172,6 +172,22 @@ def test_jaccard_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_jaccard_texts_without_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (None, a + " more"), (None, b + " more"), (None, c), (None, c + " more"), (None, c), (None, "alone x y z"), (None, None), (None, " "), (3, None)]
+    df = documents(spark, rows)
+    out = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+    assert out == Counter([(1, 1), (2, 2), (None, 1), (None, 2), (3, 3)] + [(None, None)] * 6)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(left) == 7 and {(1, a), (2, b), (3, None), (None, "alone x y z"), (None, None), (None, " ")} < set(left)
+    assert [t for i, t in left if i is None and (t or "").startswith("c0")][0] in (c, c + " more")
+    for low in (-(1 << 63), (1 << 63) - 1):  # whatever the text's hash, a doc_id goes before it
+        out = ngram_join.keep_one(documents(spark, [(None, a), (low, a + " more"), (None, a + " yet more")])).collect()
+        assert [r["doc_id"] for r in out] == [low]
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -34,7 +34,6 @@ ORDER_BITS, PART_BITS = 18, 12
 CELL = 4096
 #: Rows up to which a table of ids may be broadcast (8 bytes each); beyond, the join shuffles.
 SMALL = 1_000_000
-NO_ID = (1 << 63) - 1
 
 _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _S = np.uint64(32)
@@ -92,12 +91,17 @@ def apart(a: int, a_bits: int, b: int, b_bits: int) -> int:
     return (a ^ b).bit_count()
 
 
+def _vertex(text: str):
+    """A document's number in the graph: its doc_id, and without one a 64-bit hash of its text."""
+    return F.coalesce("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("no doc_id")))
+
+
 def describe(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """A row per document: doc_id (null as the largest number), n, sid (a 128-bit digest of the set), bits; and, with part, document counts of shingle buckets."""
+    """A row per document: doc_id, v (its vertex), n, sid (a 128-bit digest of the set), bits; and, with part, document counts of shingle buckets."""
 
     def rows(given: Iterator[tuple]):
         shingles, counts, sent = Shingler(size), np.zeros(1 << ORDER_BITS, np.int64), Cache(lambda _: True, 10_000)
-        for doc_id, value in given:
+        for doc_id, v, value in given:
             s = shingles(value)
             sid = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             counts += np.bincount((s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts)) if len(s) > 4096 else 0
@@ -105,11 +109,11 @@ def describe(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
                 np.add.at(counts, (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
             fresh = sid not in sent  # the bitmap of a set that a task has just sent need not go again
             sent[sid]
-            yield NO_ID if doc_id is None else doc_id, len(s), sid, bitmap(s) if fresh else None, None, None
+            yield doc_id, v, len(s), sid, bitmap(s) if fresh else None, None, None
         for part in range(1 << (ORDER_BITS - PART_BITS)):
-            yield None, None, None, None, part, counts[part << PART_BITS : (part + 1) << PART_BITS].tobytes()
+            yield None, None, None, None, None, part, counts[part << PART_BITS : (part + 1) << PART_BITS].tobytes()
 
-    return arrow_map(docs, ["doc_id", text], "doc_id long, n long, sid binary, bits binary, part int, counts binary", rows)
+    return arrow_map(docs.select("doc_id", _vertex(text).alias("v"), text), ["doc_id", "v", text], "doc_id long, v long, n long, sid binary, bits binary, part int, counts binary", rows)
 
 
 def order(described: DataFrame) -> np.ndarray:
@@ -255,9 +259,9 @@ def _of_list(entries: list[tuple], percent: int, forest: bool, cross: bool) -> I
 
 
 def _texts(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """doc_id and text of the documents in ``ids`` (id, distinct), a null doc_id as the largest number."""
+    """doc_id (the vertex) and text of the documents in ``ids`` (id, distinct)."""
     few = ids.count() <= SMALL  # 8 MB at most are broadcast; beyond, both sides shuffle
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return docs.select(_vertex(text).alias("doc_id"), text).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
 def fine_bitmaps(docs: DataFrame, ids: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
@@ -292,18 +296,12 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: s
     return arrow_map(both, ["a", "b", "x", "y"], "a long, b long", linked)
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", cell: int = CELL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    Words are what ASCII white space parts, with A-Z lower-cased; a text with fewer than ``size`` words is one
-    shingle; null, empty and blank texts have none and are linked with nothing. Documents link when
-    100 * intersection >= percent * union; component_id is the least doc_id reachable. Rows that repeat a
-    doc_id are one document (linked by any of its texts). A null doc_id is the largest, and null is the
-    component_id only where no other id is reachable. No rows give no rows.
-    """
+def _labelled(docs: DataFrame, size: int, percent: int, text: str, cell: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, v (its vertex), n, component (the vertex of least doc_id reachable, or of a text where no doc_id is), real (component is a doc_id)."""
     described = saved(describe(docs, size, text))
-    each = described.where("part is null").select("doc_id", "n", "sid", "bits")
-    sets = saved(each.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.max("bits").alias("bits")))
+    each = described.where("part is null").select("doc_id", "v", "n", "sid", "bits")
+    # a set goes by its least doc_id, and only where it has none by a text's hash
+    sets = saved(each.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("named"), F.min("v").alias("v"), F.first("n").alias("n"), F.max("bits").alias("bits")).select("sid", "named", F.coalesce("named", "v").alias("id"), "n", "bits"))
     bits = sets.select("id", "bits")
     entries = saved(lists(docs, size, percent, order(described), text).join(sets.select("sid", "id"), "sid").select("token", "n", "pos", "id").distinct())
     pairs = saved(_candidates(entries.withColumn("comp", F.col("id")), bits, percent, True, cell))
@@ -323,17 +321,43 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
         links = saved(links.union(verified(saved(pairs.join(tried, ["a", "b"], "left_anti")), docs, size, percent, text)).distinct())
         tried, wrong = tried.union(pairs), pairs.join(links, ["a", "b"], "left_anti")
         labels = components(links)
-    copies = sets.join(labels.withColumnRenamed("v", "id"), "id", "left").select("sid", F.coalesce("label", "id").alias("_least"))
+    copies = sets.join(labels.withColumnRenamed("v", "id"), "id", "left").select("sid", "named", F.coalesce("label", "id").alias("_least"))
+    if not sets.where("named is null").isEmpty():  # the least vertex may be a text without a doc_id: a component's least doc_id goes before it
+        copies = saved(copies)  # written, as is what it meets, so that a crowded component can be split
+        least = saved(copies.groupBy("_least").agg(F.min("named").alias("_named")))
+        copies = copies.join(least, "_least").select("sid", F.col("_named").alias("named"), F.coalesce("_named", "_least").alias("_least"))
     # one doc_id may stand for several texts: its rows share the least component
-    out = each.join(copies, "sid", "left").select("doc_id", "n", F.coalesce("_least", "doc_id").alias("component"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    out = each.join(copies, "sid", "left")
+    real = F.when(F.col("_least").isNull(), F.col("doc_id").isNotNull()).otherwise(F.col("named").isNotNull())
+    return out.select("doc_id", "v", "n", F.coalesce("_least", "v").alias("component"), real.alias("real"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", cell: int = CELL) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Words are what ASCII white space parts, with A-Z lower-cased; a text with fewer than ``size`` words is one
+    shingle; null, empty and blank texts have none and are linked with nothing. Documents link when
+    100 * intersection >= percent * union; component_id is the least doc_id reachable. Rows that repeat a
+    doc_id are one document (linked by any of its texts); of rows without one each text is a document of its own.
+    Null is the component_id only where no doc_id is reachable. No rows give no rows.
+    """
+    out = _labelled(docs, size, percent, text, cell)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("real"), F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the least doc_id, and documents without shingles."""
-    gone = saved(jaccard_components(docs.select("doc_id", text), size, percent, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_trajecta_gone")).distinct())
-    return docs.join(gone, F.expr("doc_id <=> _trajecta_gone"), "left_anti")
+    """The rows of ``docs`` that stay: of each component the one with the least doc_id, and documents without shingles.
+
+    Of a component without any doc_id one row stays.
+    """
+    vertex = "_trajecta_vertex"
+    gone = saved(_labelled(docs.select("doc_id", text), size, percent, text, CELL).where("v <> component").select(F.col("v").alias("_trajecta_gone")).distinct())
+    kept = docs.withColumn(vertex, _vertex(text)).join(gone, F.col(vertex) == F.col("_trajecta_gone"), "left_anti")
+    if docs.where("doc_id is null").isEmpty():
+        return kept.drop(vertex)
+    copies = F.col("doc_id").isNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # of one text without a doc_id, one
+    one = kept.where(copies).groupBy(vertex).agg(F.first(F.struct(*docs.columns)).alias("_trajecta_row"))
+    return kept.where(~copies).select(*docs.columns).union(one.select(*(F.col("_trajecta_row")[c].alias(c) for c in docs.columns)))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
