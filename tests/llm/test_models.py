@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -120,6 +121,22 @@ def test_short_or_unnamed_tokens_stay():
     assert [x[0] for x in pii.masked("token: a.long.local.part@mail.example.org")[1]] == ["email"]
 
 
+@pytest.mark.parametrize("local", ["été.34", "_ann", "ñandú", "Иван.7", "e\u0301te\u0301.34", "жук", "ann.é"])
+def test_emails_of_any_letters(local):
+    text = f"écrire à {local}@mail7.example.com, merci"
+    out, found = pii.masked(text)
+    assert [x[:4] for x in found] == [("email", 9, len(local) + 18, f"{local}@mail7.example.com")]
+    made = found[0][4].rpartition("@")[0]
+    assert local not in out and len(made) == len(local.lower())
+    for a, b in zip(local.lower(), made):
+        assert unicodedata.category(a) == unicodedata.category(b) and unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0] or a.isdigit() and b.isdigit()
+
+
+def test_emails_of_any_letters_stay_distinct():
+    locals_ = [f"é{a}{b}" for a in "àéèöж" for b in "abcdefghij0123456789"]
+    assert len({pii.surrogate("email", f"{x}@c.org") for x in locals_}) == len(locals_)
+
+
 def test_ranking_fits_and_holds_out(spark):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choices(["the", "quiet", "river", "runs", "far", "from", "here"], k=60)) + "."

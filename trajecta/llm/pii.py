@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -45,7 +46,7 @@ def _any(words) -> str:
 
 #: What is detected, in order of precedence.
 PATTERNS = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
+    ("email", r"(?<![\w.+\u0300-\u036f-])\w[\w.+\u0300-\u036f-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     ("secret", r"(?i:token[\"']?[ \t]*[=:][ \t]*[\"']?(?P<token>(?![\w.+-]*@)[a-z0-9_/+=.~-]{15,}[a-z0-9_/+=-])|(?:(?<=password: )|(?<=password=)|(?<=api_key=)|(?<=secret=))[^\s\"']{8,})|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
@@ -69,6 +70,19 @@ _HEX, _HEX_UPPER = ({c: (letters, i) for i, c in enumerate(letters)} for letters
 _PREFIXES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 
 
+@lru_cache(10_000)
+def _alike(c: str) -> str:
+    """The letters (or digits) of the kind of ``c`` among the 32 code points around it, in lower case where it is: its script and look stay."""
+    start, kind = ord(c) & ~31, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(start, start + 32)) if unicodedata.category(x) == kind and (x.lower() == x) == (c.lower() == c))
+
+
+def _places(text: str) -> dict:
+    """_PLACE, and the places of the text's other letters and digits."""
+    others = {c: (_alike(c), _alike(c).index(c)) for c in set(text) if not c.isascii() and unicodedata.category(c)[0] in "LN"}
+    return _PLACE | others if others else _PLACE
+
+
 def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 .. size - 1: ten Feistel rounds over the least even number of bits, walked until in range."""
     if size < 2:
@@ -136,7 +150,7 @@ def surrogate(kind: str, found: str, key: bytes = KEY) -> str:
     if kind == "email":
         local, _, domain = found.lower().rpartition("@")
         host, _, end = domain.rpartition(".")
-        return f"{reshaped(local, key, 'local', lambda x: x != local)}@{reshaped(host, key, 'host')}.{end}"
+        return f"{reshaped(local, key, 'local', lambda x: x != local, _places(local))}@{reshaped(host, key, 'host')}.{end}"
     if kind == "card":
         digits = re.sub(r"\D", "", found)
         valid = luhn(digits)
