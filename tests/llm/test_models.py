@@ -137,6 +137,20 @@ def test_emails_of_any_letters_stay_distinct():
     assert len({pii.surrogate("email", f"{x}@c.org") for x in locals_}) == len(locals_)
 
 
+@pytest.mark.parametrize("key", [pii.KEY, b"other", b"third"])
+def test_every_name_moves_within_its_list(key):
+    for (sex, script), names in pii.NAMES.items():
+        for families in [pii.FAMILIES[script]] + [[f"{n}а" for n in pii.FAMILIES[script]]] * ((sex, script) == ("f", "cyrillic")):
+            made = {}
+            for given in names:
+                for family in families:
+                    out, found = pii.masked(f"({given} {family})", key)
+                    assert [x[0] for x in found] == ["name"] and found[0][3] == f"{given} {family}"
+                    first, last = made[given, family] = tuple(out[1:-1].split(" "))
+                    assert first in names and last in families and first != given and last != family
+            assert len(set(made.values())) == len(made)
+
+
 def test_ranking_fits_and_holds_out(spark):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choices(["the", "quiet", "river", "runs", "far", "from", "here"], k=60)) + "."

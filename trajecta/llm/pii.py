@@ -3,7 +3,7 @@
 Digits and letters of a detected entity are moved by a keyed permutation of all strings of its shape (a
 Feistel network with cycle walking), so two entities of one shape never share a surrogate, and one entity
 has the same surrogate in every document and on every executor, without any exchange. Names move by a
-keyed permutation of the name list of their gender and script. What a shape must hold (a number's check
+keyed ring of the name list of their gender and script, on which none stays in place. What a shape must hold (a number's check
 digit, an address's range, a reserved prefix) is kept by walking on until it holds again.
 """
 
@@ -36,6 +36,8 @@ FAMILIES = {
     "latin": "Anderson Bernard Brown Clark Davis Dubois Fischer Garcia Gonzalez Harris Jackson Johnson Jones Klein Lewis Lopez Martin Martinez Meyer Miller Moore Moreau Müller Schmidt Schneider Smith Taylor Walker Weber Wilson".split(),
     "cyrillic": "Волков Иванов Козлов Кузнецов Лебедев Морозов Новиков Петров Попов Смирнов Соколов".split(),
 }
+#: The feminine forms, in the order of the masculine ones.
+FAMILIES["cyrillic feminine"] = [f"{n}а" for n in FAMILIES["cyrillic"]]
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _FAMILY = {n: k for k, names in FAMILIES.items() for n in names}
 
@@ -126,6 +128,17 @@ def reshaped(text: str, key: bytes, tweak: str, holds: Callable[[str], bool] = l
     return "".join(out)
 
 
+@lru_cache(1_000)
+def _ring(size: int, key: bytes, tweak: str) -> list[int]:
+    return [permuted(i, size, key, tweak) for i in range(size)]
+
+
+def _next(names: list[str], name: str, key: bytes, tweak: str) -> str:
+    """The name that follows on a keyed ring of all: a permutation that leaves none in place."""
+    ring = _ring(len(names), key, tweak)
+    return names[ring[(ring.index(names.index(name)) + 1) % len(names)]]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -177,7 +190,7 @@ def surrogate(kind: str, found: str, key: bytes = KEY) -> str:
         given, _, family = found.partition(" ")
         names, families = NAMES[_GIVEN[given]], FAMILIES[_FAMILY[family]]
         sex, script = _GIVEN[given]
-        return f"{names[permuted(names.index(given), len(names), key, sex + script)]} {families[permuted(families.index(family), len(families), key, script)]}"
+        return f"{_next(names, given, key, sex + script)} {_next(families, family, key, script)}"
     if kind == "iban":
         valid = _iban(found)
         return found[:2] + reshaped(found[2:], key, f"iban {found[:2]}", lambda x: _iban(found[:2] + x) == valid)
