@@ -55,7 +55,7 @@ def arrow_map(df: DataFrame, columns: Sequence[str], schema: str | StructType, r
     A batch ends after ``flush`` rows or about ``heavy`` bytes of text and binary values, so one task
     never holds more than a few batches, whatever the partition's size.
     """
-    fields = df.sparkSession.createDataFrame([], schema).schema
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names = [f.name for f in fields]
     from pyspark.sql.pandas.types import to_arrow_schema
 
