@@ -47,18 +47,19 @@ def test_exact_dedup_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3] and out.columns == documents(spark, []).columns
 
 
-def lines_left(rows, window=3):
-    """Windows of lines that occur before, in the order of doc_id, are deleted."""
+def lines_left(rows, window=3, chars=200):
+    """Windows of lines (so many, or fewer with so many characters) that occur before, in the order of doc_id, are deleted."""
     seen, gone = set(), {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         lines = (t or "").split("\n")
         out = set()
-        for s in range(len(lines) - window + 1):
-            key = tuple(lines[s : s + window])
+        for s in range(len(lines)):
+            k = next((k for k in range(1, window + 1) if s + k <= len(lines) and (k == window or sum(map(len, lines[s : s + k])) >= chars)), 0)
+            key = tuple(lines[s : s + k])
             if not "".join(key).strip():
                 continue
             if key in seen:
-                out |= set(range(s, s + window))
+                out |= set(range(s, s + k))
             seen.add(key)
         gone[i, t] = out
     return {k: ("\n".join(x for n, x in enumerate((k[1] or "").split("\n")) if n not in g), len(g)) for k, g in gone.items()}
@@ -78,6 +79,23 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("window, chars", [(3, 6), (3, 9), (2, 4), (4, 12), (1, 100)])
+def test_line_dedup_of_short_runs(spark, window, chars):
+    rng = random.Random(window * chars)
+    texts = ["\n".join(rng.choices(["a", "bb", "", "long line", "five5", "\u00e9\u00e9\u00e9\u00e9"], k=rng.randrange(9))) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(80, None), (81, "long line"), (82, "x" * 300), (None, "x" * 300), (3, texts[3])]
+    want = lines_left(rows, window, chars)
+    out = line_dedup.dedup_lines(documents(spark, rows), window=window, chars=chars).collect()
+    assert Counter((r["doc_id"], r["text"] or "", r["n_lines_removed"]) for r in out) == Counter((i, *want[i, t]) for i, t in rows)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line {i} of many" for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["head", *lines[5_000:15_000], "tail"]))]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows, False)).collect()}
+    assert out == {1: rows[0][1], 2: "head\ntail"}
+
+
 def test_gear_boundaries_resist_insertions():
     rng = random.Random(5)
     raw = bytes(rng.choices(b"abcdefgh ", k=20_000))
