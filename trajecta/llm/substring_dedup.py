@@ -6,6 +6,10 @@ The gear hash at a byte depends on the 32 bytes up to it. A chunk ends where the
 content repeats so evenly that no greatest value stands out, a chunk ends after LONGEST bytes. Chunks are
 deduplicated by a 128-bit digest: the document with the least doc_id keeps a chunk, and within a document
 its first occurrence. A document is a doc_id with a text, the latter by a 64-bit hash.
+
+Every text is cut once, and chunks travel once: sorted by digest and document they stream by, so no digest's chunks
+are gathered. A chunk that comes HOT times in a batch of texts is dealt over SALTS tasks; each of them sees the
+batch's first one as well.
 """
 
 from __future__ import annotations
@@ -15,13 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, documents
 
-#: Bytes on both sides that a boundary's hash must exceed; the longest chunk; the shortest repeated run that is reported.
-RADIUS, LONGEST, SHORTEST = 24, 1024, 48
+#: Bytes on both sides that a boundary's hash must exceed; the longest chunk; the shortest repeated run that is reported:
+#: about a third of fifty words, as much as is surely left of such a passage when its ends go with other chunks.
+RADIUS, LONGEST, SHORTEST = 24, 1024, 100
+#: Chunks of a batch; times that a digest comes in one to be dealt over more tasks; how many.
+BATCH, HOT, SALTS = 50_000, 64, 32
 #: The gear table: 256 numbers of 32 bits by rule.
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
 
@@ -73,29 +81,91 @@ def _hash(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+_CHUNK = "d1 long, d2 long, salt int, o int, d long, h long, start int, length int, lead boolean"
+
+
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """d1, d2 (the digest), doc_id, _h (the text's hash), start, length, again (the document holds the chunk before), in bytes of UTF-8.
+    """d1, d2 (the digest), salt, o (no doc_id), d (the doc_id), h (the text's hash), start, length (bytes of UTF-8), lead.
 
-    Null and empty texts have no chunks.
+    A digest that is crowded in its batch has its first chunk with salt 0, the others with salts from 1 on, and for each of
+    those a copy of the first as a lead. Null and empty texts have no chunks.
     """
 
-    def rows(given: Iterator[tuple]):
-        for doc_id, h, value in given:
-            raw = (value or "").encode("utf-8", "replace")
-            seen, start = set(), 0
-            ends = boundaries(raw).tolist()
-            digests = []
-            for end in ends:
-                digests.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
-                start = end
-            pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).tolist()
-            start = 0
-            for d, (d1, d2), end in zip(digests, pairs, ends):
-                yield d1, d2, doc_id, h, start, end - start, d in seen
-                seen.add(d)
-                start = end
-
-    return arrow_map(docs.select("doc_id", _hash(text).alias("_h"), text), ["doc_id", "_h", text], "d1 long, d2 long, doc_id long, _h long, start int, length int, again boolean", rows, flush=50_000)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, docs_, ends, counts, total = [], [], [], [], 0
+        for b in batches:
+            for doc_id, h, value in zip(*(c.to_pylist() for c in b.columns)):
+                raw = (value or "").encode("utf-8", "replace")
+                at = boundaries(raw)
+                if not len(at):
+                    continue
+                start = 0
+                for end in at.tolist():
+                    digests.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
+                    start = end
+                docs_.append((int(doc_id is None), doc_id or 0, h))
+                ends.append(at)
+                counts.append(len(at))
+                total += len(at)
+                if total >= BATCH:
+                    yield from dealt(digests, docs_, ends, counts)
+                    digests, docs_, ends, counts, total = [], [], [], [], 0
+        if total:
+            yield from dealt(digests, docs_, ends, counts)
+
+    def dealt(digests: list[bytes], docs_: list[tuple], ends: list[np.ndarray], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        d1, d2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+        o, d, h = (np.repeat(np.array(c, np.int64), counts) for c in zip(*docs_))
+        start = np.concatenate([np.r_[0, e[:-1]] for e in ends])
+        length = np.concatenate(ends) - start
+        salt, lead = np.zeros(len(d1), np.int64), np.zeros(len(d1), bool)
+        values, inverse, times = np.unique(d1, return_inverse=True, return_counts=True)
+        crowded = np.flatnonzero(times[inverse] >= HOT)
+        extra = np.empty(0, np.int64)
+        if len(crowded):
+            crowded = crowded[np.lexsort((start[crowded], h[crowded], d[crowded], o[crowded], d2[crowded], d1[crowded]))]
+            same = lambda *cs: np.all([c[crowded][1:] == c[crowded][:-1] for c in cs], axis=0)
+            new = np.r_[True, ~same(d1, d2)]
+            first = crowded[np.maximum.accumulate(np.where(new, np.arange(len(crowded)), 0))]
+            behind = np.any([c[crowded] != c[first] for c in (o, d, h, start)], axis=0)
+            salt[crowded[behind]] = 1 + (h[crowded[behind]] + start[crowded[behind]]) % SALTS
+            extra = crowded[new]
+        rows = np.concatenate([np.arange(len(d1)), np.repeat(extra, SALTS)])
+        salt = np.concatenate([salt, np.tile(np.arange(1, SALTS + 1), len(extra))])
+        lead = np.concatenate([lead, np.ones(SALTS * len(extra), bool)])
+        small = lambda x: pa.array(x.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(d1[rows]), pa.array(d2[rows]), small(salt), small(o[rows]), pa.array(d[rows]), pa.array(h[rows]), small(start[rows]), small(length[rows]), pa.array(lead)], names=["d1", "d2", "salt", "o", "d", "h", "start", "length", "lead"])
+
+    return docs.select("doc_id", _hash(text).alias("_h"), text).mapInArrow(cut, _CHUNK)
+
+
+def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """o, d, h, start, length and source (the doc_id of an earlier one, so): every chunk but the first of its digest.
+
+    The source is the first document that has the chunk; of a crowded chunk, the first in one of its batches.
+    """
+    order = ["d1", "d2", "salt", "o", "d", "h", "start"]
+
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: tuple | None = None
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(8)]
+            lead = b.column(8).to_numpy(zero_copy_only=False)
+            n = b.num_rows
+            if not n:
+                continue
+            new = np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)]
+            if first is not None and all(c[0] == x for c, x in zip(cols[:3], first)):
+                new[0] = False
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            head = [np.where(at < 0, first[i] if first is not None else 0, c[np.maximum(at, 0)]) for i, c in enumerate(cols[:7])]
+            later = ~lead & np.any([c != x for c, x in zip(cols[3:7], head[3:])], axis=0)
+            first = tuple(x[-1] for x in head)
+            if later.any():
+                source = pa.array(head[4][later], mask=head[3][later] > 0)
+                yield pa.RecordBatch.from_arrays([*(pa.array(cols[i][later]) for i in range(3, 8)), source], names=["o", "d", "h", "start", "length", "source"])
+
+    return chunks(docs, text).repartition("d1", "d2", "salt").sortWithinPartitions(*order).mapInArrow(behind, "o int, d long, h long, start int, length int, source long")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", shortest: int = SHORTEST) -> DataFrame:
@@ -104,15 +174,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", shortest: int = SHORTEST
     A span is a run of neighbouring repeated chunks of at least ``shortest`` bytes; bytes count in UTF-8.
     Documents without such a span have no row.
     """
-    every = chunks(docs, text)
-    order = "struct(doc_id is null as o, doc_id as d, _h as h)"  # a null doc_id is the last
-    several = every.where("not again").groupBy("d1", "d2").agg(F.expr(f"min({order})").alias("first"), F.expr(f"max({order})").alias("_last")).where("first < _last").select("d1", "d2", "first")
-    found = every.join(several, ["d1", "d2"], "left").where(f"again or {order} > first")
-    source = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.d"))
-    gone = found.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "length", source.alias("source"))).alias("found"))
+    gone = repeated_chunks(docs, text).groupBy("o", "d", "h").agg(F.collect_set(F.struct("start", "length", "source")).alias("found"))
 
     def rows(given: Iterator[tuple]):
-        for doc_id, h, spans in given:
+        for o, d, h, spans in given:
             runs: list[dict] = []
             for x in sorted(spans, key=lambda x: x["start"]):
                 if runs and runs[-1]["start"] + runs[-1]["length"] >= x["start"]:
@@ -121,9 +186,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", shortest: int = SHORTEST
                     runs.append(dict(x))
             runs = [x for x in runs if x["length"] >= shortest]
             if runs:
-                yield doc_id, h, runs
+                yield None if o else d, h, runs
 
-    return arrow_map(gone, ["doc_id", "_h", "found"], "doc_id long, _h long, spans array<struct<start:int,length:int,source:bigint>>", rows, flush=2_000)
+    return arrow_map(gone, ["o", "d", "h", "found"], "doc_id long, _h long, spans array<struct<start:int,length:int,source:bigint>>", rows, flush=2_000)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", shortest: int = SHORTEST) -> DataFrame:
