@@ -109,6 +109,66 @@ def fit(values: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int = 7)
     return Model(tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, spread)), threshold, 1.0)
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """doc_id and quality outside the held-out fold. Labels that are null or contradict each other for a doc_id are left out."""
+    told = labels.where(f"quality in (0, 1) and crc32(cast(doc_id as string)) % {FOLDS} <> {HELD_OUT}").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
+    return told.select("doc_id", "quality")
+
+
+def train(scored: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from doc_id with features and labels (doc_id, quality), outside the held-out fold.
+
+    If more than ``sample`` rows are labelled, those with the least hash of doc_id are taken.
+    """
+    taken = hashed_sample(saved(scored.join(usable(labels), "doc_id")), "doc_id", sample, "features").select("features", "quality").collect()  # at most `sample` rows
+    return fit(np.array([r["features"] for r in taken], dtype=float), np.array([r["quality"] for r in taken]))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of train(), from texts: only those of the sampled labels are turned into features.
+
+    The sample is drawn from the labelled ids that have a document, so at most ``sample`` ids are broadcast.
+    """
+    told = usable(labels)
+    known = saved(told.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi"))
+    chosen = saved(hashed_sample(known, "doc_id", sample))
+    return train(with_features(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")), chosen, sample)
+
+
+def score(self, values: list[float]) -> float:
+        raw = sum(w * (v - c) / s for w, v, c, s in zip(self.weights, values, self.centre, self.spread))
+        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * (raw - self.threshold)))))
+
+
+def fit(values: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Model:
+    """Weights from preference pairs of the given rows; with one class only, all documents score 0.5 or more if it is good, else less."""
+    d = values.shape[1] if values.ndim == 2 and len(values) else N_FEATURES
+    better, worse = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    if not len(better) or not len(worse):
+        return Model((0.0,) * d, (0.0,) * d, (1.0,) * d, 1.0 if len(worse) else -1.0, 1.0)
+    centre, spread = values.mean(0), values.std(0)
+    spread[spread < 1e-9] = 1.0
+    x = (values - centre) / spread
+    rng = np.random.default_rng(seed)
+    gap = x[rng.choice(better, pairs)] - x[rng.choice(worse, pairs)]
+    w, ridge = np.zeros(d), 1e-3
+    for _ in range(30):  # Newton steps on mean log(1 + exp(-gap.w)) + ridge
+        p = 1 / (1 + np.exp(np.clip(gap @ w, -40, 40)))
+        slope = -(gap * p[:, None]).mean(0) + ridge * w
+        bend = (gap * (p * (1 - p))[:, None]).T @ gap / pairs + ridge * np.eye(d)
+        step = np.linalg.solve(bend, slope)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    raw = x @ w
+    threshold = float(np.quantile(raw, len(worse) / (len(worse) + len(better))))
+    near = np.sort(raw)
+    at = np.searchsorted(near, threshold)
+    if 0 < at < len(near):  # between the two scores that the quantile parts
+        threshold = float((near[at - 1] + near[at]) / 2)
+    return Model(tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, spread)), threshold, 1.0)
+
+
 def train(scored: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from doc_id with features and labels (doc_id, quality), outside the held-out fold.
 
@@ -135,13 +195,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored from their (zero) features; repeated rows score alike; a null doc_id is
     never held out and never trained on; without usable labels every document is predicted good.
     """
-    scored = saved(with_features(docs))
-    return score(scored, train(scored, labels))
+    return score(with_features(docs), trained(docs, labels))
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their columns; each text is scored where it is read."""
-    model = train(saved(with_features(docs)), labels)
+    model = trained(docs, labels)
     columns = docs.columns
     at = columns.index("text")
 
