@@ -137,6 +137,11 @@ class WordBpe:
     def _part(self, part: str) -> bytes:
         if not part:
             return b""
+        if self.plain and part.isascii():  # nearly all parts: letters, with one mark behind or none
+            if part.isalpha():
+                return self.words[part.lower()]
+            if part[-1] in ".,;:!?" and part[:-1].isalpha():
+                return self.words[part[:-1].lower()] + self.words[part[-1]]
         if self.plain and self.latin(part) and "<|" not in part and "İ" not in part and unicodedata.is_normalized("NFC", part) and not any(c in "\x7f\x85\xa0" for c in part):
             return b"".join(map(self.words.__getitem__, self.find(part.lower())))
         return array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()

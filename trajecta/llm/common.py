@@ -96,14 +96,16 @@ def hashed_sample(df: DataFrame, key: str, n: int, *order: str) -> DataFrame:
 
 
 class Cache(dict):
-    """A dict that makes what is missing and starts anew at a bound, so that a worker's memory stays bounded."""
+    """A dict that makes what is missing. At half its bound it sets what it holds aside and starts anew, taking back what is
+    asked for again: a worker's memory stays bounded, and what is frequent stays."""
 
     def __init__(self, make: Callable, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.aside = make, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.aside = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self[key] = self.aside[key] if key in self.aside else self.make(key)
         return value
