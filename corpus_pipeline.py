@@ -1,11 +1,13 @@
 """The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, personal data, best-fit packing.
 
 Every stage works on all that its predecessor kept. Null texts and empty tables pass through as each
-operator's docstring says; columns besides those of ``documents`` stay until the last stage.
+operator's docstring says; columns besides those of ``documents`` stay until the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,15 @@ from trajecta.llm import common, line_dedup, ngram_join, packing, pii, quality
 from trajecta.llm.bpe import vocabulary
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """n_chars follows the text, where the table has that column."""
-    return docs.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns))
+def _edited(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` with the text that ``operator`` leaves; n_chars follows it, where the table has that column.
+
+    Other columns go under names that no operator adds, and come back under their own.
+    """
+    aside = {c: f"_stage_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = operator(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(a) for c, a in aside.items())))
+    back = {c: F.length("text").cast("long") if c == "n_chars" else F.col(a) for c, a in aside.items()}
+    return out.select(*(back.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines are deleted from the texts; every document stays."""
-    return _counted(line_dedup.dedup_lines(docs), docs.columns)
+    return _edited(docs, line_dedup.dedup_lines)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +43,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced."""
-    return _counted(pii.surrogates(docs), docs.columns)
+    return _edited(docs, pii.surrogates)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
