@@ -72,6 +72,28 @@ def test_converter_reasons():
     assert json.loads(out["messages"][0]["tool_calls"][0]["function"]["arguments"])["command"].startswith("ls 2>&1 | tail -n ")
 
 
+def test_malformed_rows_have_a_reason():
+    view = lambda span: raw(steps=[("str_replace_editor", {"command": "view", "path": "/workspace/r__1/x.py", "view_range": span}, VIEW, "")])
+    for row in (view(["a", "b"]), view([1]), view(7), raw(steps=[("execute_bash", {}, "x", "")]), raw(steps=[("think", {"thought": 5}, None, "")]), {"trajectory": None}, {"instance_id": "i"}, {**raw(), "trajectory": [{"content": "no role"}]}):
+        assert convert_row(row) == (None, "malformed_row")
+    bad = raw(steps=[("execute_bash", {"command": "x"}, "x", "")])
+    bad["trajectory"][1]["tool_calls"][0]["function"]["arguments"] = "{no"
+    assert convert_row(bad) == (None, "badjson")
+
+
+def test_scratch_files_move_from_where_they_are_made():
+    made = "File created successfully at: /workspace/r__1/t.py"
+    steps = [
+        ("execute_bash", {"command": "python t.py"}, "t.py", ""), ("str_replace_editor", {"command": "create", "path": "/workspace/r__1/t.py", "file_text": "EOF\n\nEOF\n"}, made, "make t.py"),
+        ("execute_bash", {"command": "python /workspace/r__1/t.py at.py t.pyc"}, "ran t.py", ""), ("str_replace_editor", {"command": "create", "path": "/workspace/r__1/x.py", "file_text": "import t.py"}, made, ""),
+    ]
+    out, why = convert_row(raw(steps=steps))
+    assert why is None
+    said = [json.loads(c["function"]["arguments"]) for m in out["messages"] for c in m.get("tool_calls") or []]
+    assert [a.get("command") for a in said[:3]] == ["python t.py", "cat > /tmp/t.py <<'PYEOF'\nEOF\n\nEOF\n\nPYEOF", "python /tmp/t.py at.py t.pyc"]
+    assert said[3] == {"filepath": "x.py", "content": "import /tmp/t.py"} and out["messages"][2]["reasoning"] == "make /tmp/t.py"
+
+
 def test_convert_table_and_cap(spark):
     given = [raw("a"), raw("a", 0), raw("a"), raw("a"), raw("b", finish=False)]
     df = spark.createDataFrame([json.dumps({"ordinal": i, **r}) for i, r in enumerate(given)], "string").select(F.from_json("value", f"ordinal long, {schema.RAW_TRAJECTORY}").alias("v")).select("v.*")
@@ -114,9 +136,17 @@ def table(spark, conversations):
 
 OK = {"status": "ok", "stdout": "x"}
 BAD = {"status": "error", "error_message": "no"}
-CLEAN = [("run_command", {"command": "python repro.py"}, OK, None), ("read_file", {"filepath": "src/a.py"}, OK, None), ("edit_file", {"filepath": "src/a.py"}, OK, None), ("run_command", {"command": "python -m pytest -q"}, OK, None), ("submit_patch", {}, {"status": "ok", "patch_size": 29, "files_changed": 1}, None)]
-SLOPPY = [("edit_file", {"filepath": "b.py"}, BAD, None), ("edit_file", {"filepath": "b.py"}, BAD, None), ("run_command", {"command": "pip install x"}, OK, "y" * 2001), ("run_command", {"command": "ls"}, OK, None), ("run_command", {"command": "ls"}, OK, None), ("submit_patch", {}, {"status": "ok", "patch_size": 1, "files_changed": 0}, None)]
-PATCH = "diff --git a/src/a.py b/src/a.py"
+#: Looks at the bug, reads what it edits, runs the tests, and submits.
+CLEAN = [
+    ("run_command", {"command": "python tools/show_bug.py"}, OK, None), ("read_file", {"filepath": "lib/m.py"}, OK, None), ("edit_file", {"filepath": "lib/m.py"}, OK, None),
+    ("run_command", {"command": "tox -e unit"}, OK, None), ("submit_patch", {}, {"status": "ok", "patch_size": 29, "files_changed": 1}, None),
+]
+#: Edits unread and in vain, twice; fetches what it must not, thinks long, looks twice at one thing.
+SLOPPY = [
+    ("edit_file", {"filepath": "notes.py"}, BAD, None), ("edit_file", {"filepath": "notes.py"}, BAD, None), ("run_command", {"command": "wget http://example.org/x"}, OK, "z" * 2001),
+    ("run_command", {"command": "git status"}, OK, None), ("run_command", {"command": "git status"}, OK, None), ("submit_patch", {}, {"status": "ok", "patch_size": 1, "files_changed": 0}, None),
+]
+PATCH = "diff --git a/lib/m.py b/lib/m.py"
 
 
 def test_curation(spark):
@@ -146,6 +176,20 @@ def test_matched_patches_and_choice(spark):
     assert curate.summary(curate.choose(scores, 0.5)).first()["kept"] == 2
 
 
+def test_the_report_of_a_choice(spark):
+    convs = table(spark, [conversation(i, CLEAN if i % 2 else SLOPPY, f"r{i // 4}") for i in range(8)])
+    patches = spark.createDataFrame([(i, PATCH) for i in range(7)], "ordinal long, patch string")
+    chosen = curate.choose(curate.features(curate.normalize(convs), patches), 0.5, 2, exclude=["r9"]).cache()
+    told = curate.report(chosen, {"keep": 0.5}, 2)
+    json.dumps(told)
+    counts = told["counts"]
+    kept = [r["repo"] for r in chosen.where("kept").collect()]
+    assert told["params"] == {"keep": 0.5} and (counts["input"], counts["eligible"], counts["unmatched"], counts["excluded"], counts["target"]) == (8, 7, 1, 0, 4)
+    assert counts["kept"] == len(kept) == 4 and counts["repos_at_cap"] == 2 and told["repos_kept_histogram"] == {2: 2} and counts["repos_eligible"] == 2
+    assert set(told["score"]) == {"eligible", "kept", "rejected", "kept_min"} and told["score"]["kept_min"] == told["score"]["kept"]["0"] and set(told["raw_means"]) == set(curate.RAW)
+    assert told["feature_means"]["order"]["kept"] >= told["feature_means"]["order"]["rejected"] and told["patch"]["kept_edits_existing_test"] + 0 <= 4
+
+
 def entry(key, n_calls, name="run_command", raw_="", status=200, error=None, result="fine"):
     messages = [{"role": "system", "content": "You are a coder.\nMore"}, {"role": "user", "content": key}]
     for i in range(n_calls):
