@@ -49,18 +49,25 @@ def holds_any(c: Column, texts: Sequence[str]) -> Column:
     return out
 
 
-def joined_parts(parts: Column, sep: str = "") -> Column:
-    """The text of content parts (array of structs with text)."""
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), sep)
+def content_text(content: Column, sep: str = " ") -> Column:
+    """Content that is a text, or a JSON list of parts, as text; parts without a text count as empty. Nulls stay."""
+    value = F.try_parse_json(content)
+    listed = F.coalesce(F.schema_of_variant(value).rlike("^ARRAY<(OBJECT|VOID)"), F.lit(False))
+    parts = F.from_json(content, "array<struct<text:string>>")
+    return F.when(listed, F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), sep)).otherwise(content)
+
 
+def system_text(messages: Column, sep: str = " ") -> Column:
+    """The content of a leading system or developer message, else empty. Messages: array of structs role, content.
 
-def system_text(messages: Column) -> Column:
-    """The content of a leading system or developer message, else empty. Messages: array of structs role, content."""
+    Parts are joined by ``sep``: a blank in statistics, nothing in replayed conditions.
+    """
     first = F.try_element_at(messages, F.lit(1))
-    return F.when(first["role"].isin("system", "developer"), F.coalesce(first["content"], F.lit(""))).otherwise(F.lit(""))
+    return F.when(first["role"].isin("system", "developer"), F.coalesce(content_text(first["content"], sep), F.lit(""))).otherwise(F.lit(""))
 
 
 def first_user(messages: Column, width: int = 200) -> Column:
+    """The start of the first user content; a list of parts is taken as its JSON text."""
     user = F.try_element_at(F.filter(messages, lambda m: m["role"] == "user"), F.lit(1))["content"]
     return F.left(F.coalesce(user, F.lit("")), F.lit(width))
 
@@ -146,6 +153,12 @@ def result_encoding(content: Column) -> Column:
     return F.when(value.isNull(), "raw").when(F.coalesce(only, F.lit(False)) & nested, "double").otherwise("single")
 
 
+def variant_encoding(content: Column) -> Column:
+    """The encoding of a result that may be any JSON value (a variant): a text's own, parts for a list, else other."""
+    kind = F.schema_of_variant(content)
+    return F.when(kind == "STRING", result_encoding(F.try_variant_get(content, "$", "string"))).when(kind.startswith("ARRAY"), "parts").otherwise("other")
+
+
 def patch_files(patch: Column) -> Column:
     """The files of a unified diff: array of structs path, new, deleted, add, rem; lines before the first header count for none.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ def conversations(converted: DataFrame, path: str, single: bool = False) -> None
     (kept.coalesce(1) if single else kept).write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def curation(scores: DataFrame, kept: DataFrame, summary: DataFrame, path: str) -> None:
+def curation(scores: DataFrame, kept: DataFrame, summary: dict, path: str) -> None:
     """kept, scores and summary below a path; give tables that are written or cached, as each is read once more."""
     kept.orderBy("ordinal").write.mode("overwrite").json(f"{path}/kept")
     scores.orderBy("ordinal").write.mode("overwrite").json(f"{path}/scores")
-    summary.write.mode("overwrite").json(f"{path}/summary")
+    scores.sparkSession.createDataFrame([(json.dumps(summary, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
 
 
 def windows(rows: DataFrame, path: str, fraction: float = 0.02) -> None:
