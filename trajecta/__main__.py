@@ -18,7 +18,7 @@ from . import schema
 
 def _convert(spark: SparkSession, a: argparse.Namespace) -> None:
     limits = conversion.Limits(a.max_lines, a.max_file_chars, a.max_stdout)
-    out = conversion.convert(scans.trajectories(spark, a.src), max_turns=a.max_turns, per_instance=a.per_instance, resolved_only=not a.include_unresolved, limits=limits).persist()
+    out = conversion.convert(scans.trajectories(spark, a.src, a.row_groups), max_turns=a.max_turns, per_instance=a.per_instance, resolved_only=not a.include_unresolved, limits=limits).persist()
     sinks.conversations(out, a.out)
     conversion.reasons(out).show(100, False)
 
@@ -29,7 +29,8 @@ def _curate(spark: SparkSession, a: argparse.Namespace) -> None:
     scores = curate.features(given, curate.matched_patches(given, scans.patches(spark, a.source))).persist()
     chosen = curate.choose(scores, a.keep, a.max_per_repo, a.repo_penalty, a.instance_penalty, [r for r in a.exclude_repos.split(",") if r]).persist()
     kept = given.join(chosen.where("kept").select("ordinal"), "ordinal", "left_semi")
-    sinks.curation(chosen, kept, curate.summary(chosen), a.out)
+    params = {"keep": a.keep, "max_per_repo": a.max_per_repo, "repo_penalty": a.repo_penalty, "instance_penalty": a.instance_penalty, "exclude_repos": sorted(filter(None, a.exclude_repos.split(","))), "weights": curate.WEIGHTS, "normalize": not a.no_normalize, "long_thought_chars": curate.LONG_THOUGHT}
+    sinks.curation(chosen, kept, curate.report(chosen, params, a.max_per_repo), a.out)
     curate.feature_means(chosen, [c for c in chosen.columns if c.startswith("f_")]).show(20, False)
 
 
@@ -60,7 +61,7 @@ def _scorer_time(spark: SparkSession, a: argparse.Namespace) -> None:
     log = scans.jsonl_ordered(spark, a.proxy_log, schema.SUMMARY_LOG).select("t", "dt", "status", "enable_thinking", "usage.completion_tokens")
     out = scorer_time.estimates(tasks, log, ["ordinal"], a.per_call, a.tok_s, a.cap_minutes * 60 if a.cap_minutes else None).persist()
     out.select("arm", "id", "resolved", "wall_s", "n_calls", "n_thinking", "completion_tokens", "llm_local_s", "llm_est_s", "tool_s", "est_s").orderBy("ordinal").show(10_000, False)
-    scorer_time.projection(out, ["arm"], a.tasks, a.setup_minutes).show(100, False)
+    scorer_time.projection(out, ["arm"], a.tasks, a.setup_minutes, "ordinal").show(100, False)
 
 
 def _replay(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -104,7 +105,7 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(*flags.split(), **options)
 
     flag, many = {"action": "store_true"}, {"nargs": "+"}
-    command("convert", _convert, ("src", {}), ("out", {}), ("--max-turns", {"type": int, "default": 40}), ("--per-instance", {"type": int, "default": 2}), ("--include-unresolved", flag), ("--max-lines", {"type": int, "default": 150}), ("--max-file-chars", {"type": int, "default": 10_000}), ("--max-stdout", {"type": int, "default": 5_000}))
+    command("convert", _convert, ("src", {}), ("out", {}), ("--max-turns", {"type": int, "default": 40}), ("--per-instance", {"type": int, "default": 2}), ("--include-unresolved", flag), ("--row-groups", {}), ("--max-lines", {"type": int, "default": 150}), ("--max-file-chars", {"type": int, "default": 10_000}), ("--max-stdout", {"type": int, "default": 5_000}))
     command("curate", _curate, ("conv", {}), ("out", {}), ("--source", {"required": True}), ("--keep", {"type": float, "default": 0.4}), ("--max-per-repo", {"type": int, "default": 8}), ("--repo-penalty", {"type": float, "default": 0.02}), ("--instance-penalty", {"type": float, "default": 0.03}), ("--exclude-repos", {"default": ""}), ("--no-normalize", flag))
     command("render", _render, ("conv", {}), ("out", {}), ("--system-prompt", {"required": True}), ("--user-template", {"required": True}), ("--tools", {}), ("--tools-from-log", {}), ("--tool-names", {"default": "run_command,read_file,edit_file,write_file,get_status,submit_patch"}), ("--mode", {"choices": ["think", "nothink"], "default": "nothink"}), ("--encoding", {"choices": ["single", "double"], "default": "single"}), ("--max-len", {"type": int, "default": 12_288}), ("--valid-frac", {"type": float, "default": 0.02}), ("--limit", {"type": int, "default": 0}), ("--exclude-repos", {"default": ""}), ("--mask-error-turns", {"choices": ["off", "tool", "all"], "default": "off"}))
     command("log-stats", _log_stats, ("logs", many), ("--role", {"action": "append", "default": []}), ("--loop-threshold", {"type": int, "default": 10}), ("--top", {"type": int, "default": 10}))

@@ -37,19 +37,21 @@ def sequenced_match(left: DataFrame, right: DataFrame, key: str, left_order: str
     """Per key, each left row in order takes the next unused right row whose ``match`` columns are equal.
 
     A left row without a match takes none and uses none. Adds ``carry`` of the matched right row and matched.
-    A fold over the key's two sorted arrays of compared values and row numbers, so those must fit a row.
+    A fold over the key's sorted left rows with, for each compared value, the places of its right rows: a step looks at the
+    rows of its own value alone. A key's compared values and places must fit a row.
     """
-    listed = lambda df, order, into: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(F.struct(*match)).alias("m")))).alias(into))
-    both = listed(left, left_order, "_l").join(listed(right, right_order, "_r"), key, "left").withColumn("_offered", F.coalesce(F.transform("_r", lambda x: x["m"]), F.array().cast("array<string>")))
+    value = F.to_json(F.struct(*match))
+    wants = left.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(left_order).alias("o"), value.alias("m")))).alias("_l"))
+    offers = right.groupBy(key, value.alias("_m")).agg(F.array_sort(F.collect_list(right_order)).alias("_at")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_m", "_at"))).alias("_r"))
+    both = wants.join(offers, key, "left")
 
     def step(state: Column, wanted: Column) -> Column:
-        rest = F.slice("_offered", state["used"] + 1, F.size("_offered"))
-        at = F.array_position(rest, wanted["m"]).cast("int")
-        took = F.when(at > 0, F.get(F.col("_r"), state["used"] + at - 1)["o"])
-        return F.struct((state["used"] + at).alias("used"), F.concat(state["took"], F.array(took)).alias("took"))
+        ahead = F.filter(F.try_element_at("_r", wanted["m"]), lambda at: state["used"].isNull() | (at > state["used"]))
+        took = F.get(ahead, F.lit(0))
+        return F.struct(F.coalesce(took, state["used"]).alias("used"), F.concat(state["took"], F.array(took)).alias("took"))
 
     kinds = dict(right.dtypes)
-    start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<{kinds[right_order]}>").alias("took"))
+    start = F.struct(F.lit(None).cast(kinds[right_order]).alias("used"), F.array().cast(f"array<{kinds[right_order]}>").alias("took"))
     pairs = both.select(key, F.explode(F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias("o"), F.aggregate("_l", start, step, lambda s: s["took"]).alias("took"))).alias("p"))
     pairs = pairs.select(key, F.col("p.o").alias(left_order), F.col("p.took").alias("_took"))
     found = pairs.join(right.select(F.col(key).alias("_key"), F.col(right_order).alias("_order"), carry), (F.col(key) == F.col("_key")) & (F.col("_took") == F.col("_order")), "left")

@@ -25,8 +25,28 @@ def diverse_top_k(items: DataFrame, target: int | Column, max_per_repo: int, rep
     in_repo = Window.partitionBy(repo).orderBy(F.desc(F.col(score) - F.col("_p")), instance, idx)
     ranked = two.withColumn("_k", F.row_number().over(in_repo) - 1).where(F.col("_k") < max_per_repo)
     scored = ranked.withColumn("effective", F.col(score) - F.lit(float(repo_penalty)) * F.col("_k") - F.col("_p"))
-    chosen = scored.orderBy(F.desc("effective"), instance, idx).limit(int(target))
-    return chosen.withColumn("pick", F.row_number().over(Window.orderBy(F.desc("effective"), instance, idx))).drop("_r", "_p", "_k")
+    return numbered(scored.drop("_r", "_p", "_k"), "effective", [instance, idx], "pick").where(F.col("pick") <= int(target))
+
+
+def cuts(df: DataFrame, value: str, blocks: int = 256) -> list[float]:
+    """Values that part the rows into about equal blocks, whatever their distribution: one aggregation, ``blocks`` numbers."""
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [n / blocks for n in range(1, blocks)], 10_000).alias("c")).first()["c"]
+    return sorted(set(found or []))
+
+
+def numbered(df: DataFrame, value: str, ties: Sequence[str], into: str) -> DataFrame:
+    """Numbers all rows from 1 by falling ``value``, then ``ties``, without a task that sees all of them.
+
+    Rows are ranked within blocks of values, whose counts give each block its start; equal values are in one block.
+    """
+    bounds = cuts(df, value)
+    # the number of bounds above the value: the block of the greatest values is 0
+    block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col(value).cast("double"))) if bounds else F.lit(0)
+    dealt = df.withColumn("_b", block)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    starts = dealt.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    w = Window.partitionBy("_b").orderBy(F.desc(value), *ties)
+    return dealt.join(F.broadcast(starts), "_b").withColumn(into, F.row_number().over(w) + F.col("_s")).drop("_b", "_s")
 
 
 def greedy_top_k(items: DataFrame, target: int, max_per_repo: int, repo_penalty: float, instance_penalty: float, idx: str = "idx", instance: str = "instance_id", repo: str = "repo", score: str = "score") -> DataFrame:
@@ -64,17 +84,19 @@ def target_size(keep: float, n: int) -> int:
     return round(keep * n)
 
 
-def nearest_rank(df: DataFrame, value: str, percents: Sequence[int] = (0, 10, 25, 50, 75, 90, 100), blocks: int = 4096) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, percents: Sequence[int] = (0, 10, 25, 50, 75, 90, 100), blocks: int = 256) -> DataFrame:
     """p and value: the value at index round_half_even((n - 1) * p / 100) of the sorted values (nulls left out).
 
-    Exact without a global sort: values are counted in ``blocks`` equal ranges, the few ranges that hold an
-    asked index are found from those counts, and only their values are ranked. No values give no rows.
+    Exact without a global sort: distinct values are counted, blocks of about equal numbers of rows are cut at approximate
+    quantiles (an outlier changes nothing), and only the blocks that hold an asked index are ranked. No values give no rows.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    ends = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    tagged = counted.join(F.broadcast(ends)).withColumn("b", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(blocks - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks))).otherwise(F.lit(0)).cast("long"))
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tagged.groupBy("b").agg(F.sum("c").alias("bc"), F.first("n").alias("n")).withColumn("before", F.coalesce(F.sum("bc").over(w), F.lit(0)))
+    given = df.where(F.col(value).isNotNull())
+    bounds = cuts(given, value, blocks)
+    counted = given.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("v"))) if bounds else F.lit(0)
+    tagged = counted.withColumn("b", block.cast("long"))
+    upto, all_ = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row per block
+    starts = tagged.groupBy("b").agg(F.sum("c").alias("bc")).select("b", "bc", F.coalesce(F.sum("bc").over(upto), F.lit(0)).alias("before"), F.sum("bc").over(all_).alias("n"))
     # (n - 1) * p / 100 in whole hundredths, so halves are exact
     at = F.expr("(n - 1) * p div 100 + case when (n - 1) * p % 100 > 50 then 1 when (n - 1) * p % 100 = 50 then ((n - 1) * p div 100) % 2 else 0 end")
     asked = starts.withColumn("p", F.explode(F.array(*(F.lit(int(p)).cast("long") for p in percents)))).withColumn("at", at).where("at >= before and at < before + bc").select("b", "p", "at", "before")

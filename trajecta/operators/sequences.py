@@ -62,6 +62,31 @@ def edit_order(df: DataFrame, keys: Sequence[str], seq: str, kind: str) -> DataF
     return marks.join(after, list(keys), "left").select(*keys, F.coalesce("_after", F.lit(False)).alias("verify_after_edit"), F.coalesce(F.col("_first_run") < F.col("_first"), F.lit(False)).alias("run_before_edit"))
 
 
+def signals(df: DataFrame, keys: Sequence[str], seq: str, name: str, error: str, kind: str, key: str) -> DataFrame:
+    """df with what redundant(), failed_retries() and edit_order() ask of a row, after one exchange by ``keys``.
+
+    Adds _again, _retry (flags), _verifies (a run between the last edit and the first submit) and _early (a run before the
+    first edit); count_if and bool_or of them by ``keys`` need no exchange any more.
+    """
+    w, whole = _ordered(keys, [seq]), Window.partitionBy(*keys)
+    at = lambda k, pick: pick(F.when(F.col(kind) == k, F.col(seq))).over(whole)
+    edit, run = F.col(kind) == "edit", F.col(kind) == "run"
+    marked = df.select(
+        "*", F.sum(F.coalesce(edit, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_epoch"),
+        (F.col(error) & F.lag(error).over(w) & F.col(name).eqNullSafe(F.lag(name).over(w))).alias("_retry"),
+        at("edit", F.min).alias("_first"), at("edit", F.max).alias("_last"), at("submit", F.min).alias("_submit"),
+    )
+    again = F.row_number().over(Window.partitionBy(*keys, "_epoch", key, F.coalesce(edit, F.lit(False))).orderBy(seq)) > 1
+    verifies = run & (F.col(seq) > F.col("_last")) & (F.col("_submit").isNull() | (F.col(seq) < F.col("_submit")))
+    out = marked.select("*", (again & ~F.coalesce(edit, F.lit(False))).alias("_again"), F.coalesce(verifies, F.lit(False)).alias("_verifies"), F.coalesce(run & (F.col(seq) < F.col("_first")), F.lit(False)).alias("_early"))
+    return out.drop("_epoch", "_first", "_last", "_submit")
+
+
+def signal_sums() -> list[Column]:
+    """The aggregates of signals()."""
+    return [F.count_if("_again").alias("redundant"), F.count_if("_retry").alias("failed_retries"), F.bool_or("_verifies").alias("verify_after_edit"), F.bool_or("_early").alias("run_before_edit")]
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key: a keyed least row by partial aggregation, so a common key is no hot spot."""
     rest = [c for c in df.columns if c not in keys]

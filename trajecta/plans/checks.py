@@ -120,8 +120,10 @@ def tokenized(windows: DataFrame) -> DataFrame:
 
 
 def epoch_plan(windows: DataFrame, key: str, length: str, buckets: Sequence[int], batch: int, epochs: int, seed: int) -> DataFrame:
-    """epoch, bucket, step_in_bucket and full of every window, shuffled anew for each epoch."""
-    each = windows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_s", F.xxhash64(F.lit(seed) + F.col("epoch"), key))
+    """epoch, bucket, step_in_bucket and full of every window, shuffled anew for each epoch: by 60 bits of a seeded MD5."""
+    digest = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("epoch")).cast("string"), F.col(key).cast("string")))
+    spread = F.shiftleft(F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long"), 3)  # an evenly spread long
+    each = windows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_s", spread)
     out = None
     for e in range(epochs):
         one = sequences.bucket_plan(each.where(F.col("epoch") == e), length, "_s", [key], buckets, batch)
@@ -156,6 +158,32 @@ def trailing_mean(df: DataFrame, order: str, value: str, rows: int, into: str, k
     return df.withColumn(into, F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows, 0)))
 
 
+def horizon(step: Column, step_s: Column, ckpt_s: Column, left_s: Column, planned: int, every: int, batch: int) -> Column:
+    """Where a schedule is to end: the steps that still fit in 97 % of the time left at the measured costs, never past the plan nor before now.
+
+    ``step_s`` is the mean of the last steps (trailing_mean over 300), ``ckpt_s`` that of a checkpoint every ``every`` windows.
+    """
+    fit = F.floor(F.lit(0.97) * left_s / (step_s + F.lit(float(batch)) * ckpt_s / F.lit(float(every)))).cast("long")
+    return F.greatest(F.least(F.lit(planned).cast("long"), step + F.greatest(fit, F.lit(0).cast("long"))), step)
+
+
+def fitting_pairs(rows: DataFrame, prompt: str, completion: str, most: int, stops: int = 1) -> DataFrame:
+    """Prompt and completion pairs of at most ``most`` tokens with the stop tokens behind, by words."""
+    return rows.where(text.whitespace_tokens(F.col(prompt)) + text.whitespace_tokens(F.col(completion)) + stops <= most)
+
+
+def numbers_digest(numbers: str, width: int = 4) -> Column:
+    """The SHA-256 of an array of integers, each in ``width`` little-endian bytes."""
+    byte = lambda x, i: F.lpad(F.hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))), 2, "0")
+    return F.sha2(F.unhex(F.array_join(F.transform(numbers, lambda x: F.concat(*(byte(x.cast("int"), i) for i in range(width)))), "")), 256)
+
+
+def manifest_mismatches(windows: DataFrame, manifest: DataFrame, tokens: str = "words", mask: str = "mask", first: int = 64) -> DataFrame:
+    """row of the first windows whose digests of tokens (4 bytes each) or mask (1 byte) are not the manifest's (row, tokens_sha256, mask_sha256)."""
+    own = windows.where(F.col("row") < first).select("row", numbers_digest(tokens).alias("_t"), numbers_digest(mask, 1).alias("_m"))
+    return own.join(manifest, "row").where((F.col("_t") != F.col("tokens_sha256")) | (F.col("_m") != F.col("mask_sha256"))).select("row")
+
+
 def first_that_fits(probes: DataFrame, order: str, fits: str) -> DataFrame:
     """The first configuration in order that fits."""
     return probes.where(F.col(fits)).orderBy(order).limit(1)
@@ -184,7 +212,3 @@ def fingerprints(files: DataFrame, known: dict[str, str]) -> DataFrame:
     """Adds label: the name of a file's known digest, else null. ``known`` is a short table of constants."""
     pairs = [F.lit(x) for kv in known.items() for x in kv]
     return files.withColumn("label", F.try_element_at(F.create_map(*pairs), F.col("sha256")) if pairs else F.lit(None).cast("string"))
-
-
-def head_text(column: str, n: int = 40) -> Column:
-    return F.left(text.strip(F.col(column)), F.lit(n))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls as fc
@@ -78,13 +78,18 @@ def session_argmax_first(spark, d):
     return _table(spark, d, "conversations").groupBy("conv_id").agg(best.alias("b")).select("conv_id", "b.turn", "b.chars")
 
 
-@query("""WITH s AS (SELECT conv_id, count(*) AS turns, count(CASE WHEN role = 'user' THEN 1 END) AS users, coalesce(max(CASE WHEN turn = 0 AND role = 'system' THEN text END), '') AS sys FROM conversations GROUP BY conv_id),
+@query("""WITH s AS (SELECT conv_id, count(*) AS turns, count(CASE WHEN role = 'user' THEN 1 END) AS users, count(CASE WHEN role = 'assistant' THEN 1 END) AS answers, count(CASE WHEN length(text) > 900 THEN 1 END) AS longs, coalesce(max(CASE WHEN turn = 0 AND role = 'system' THEN text END), '') AS sys FROM conversations GROUP BY conv_id),
 r AS (SELECT *, CASE WHEN regexp_matches(sys, 'the') THEN 'english' WHEN left(split_part(sys, chr(10), 1), 40) <> '' THEN left(split_part(sys, chr(10), 1), 40) ELSE '(no system prompt)' END AS role FROM s)
-SELECT role, count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS requests, CAST(sum(users) AS BIGINT) AS users, count(CASE WHEN turns >= 5 THEN 1 END) AS loops FROM r GROUP BY role""")
+SELECT role, count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS requests, CAST(sum(users) AS BIGINT) AS edit_ok, CAST(sum(answers) AS BIGINT) AS edit_not_found, CAST(sum(longs) AS BIGINT) AS edit_error, CAST(sum(turns % 2) AS BIGINT) AS malformed, CAST(sum(turns % 3) AS BIGINT) AS unparsed, CAST(sum(turns % 4) AS BIGINT) AS overflow, count(CASE WHEN turns >= 5 THEN 1 END) AS loops FROM r GROUP BY role""")
 def role_rollup(spark, d):
+    """The role report over conversations as sessions, with counts of their turns as what is summed."""
     sys = F.coalesce(F.max(F.when((F.col("turn") == 0) & (F.col("role") == "system"), F.col("text"))), F.lit(""))
-    s = _table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("users"), sys.alias("sys"))
-    return s.withColumn("role", ft.role_label(F.col("sys"), [("english", "the")])).groupBy("role").agg(F.count("*").alias("sessions"), F.sum("turns").alias("requests"), F.sum("users").alias("users"), F.count_if(F.col("turns") >= 5).alias("loops"))
+    turns = F.count("*")
+    s = _table(spark, d, "conversations").groupBy("conv_id").agg(
+        turns.alias("requests"), turns.alias("longest_run"), F.count_if(F.col("role") == "user").alias("edit_ok"), F.count_if(F.col("role") == "assistant").alias("edit_not_found"), F.count_if(F.length("text") > 900).alias("edit_error"),
+        (turns % 2).alias("malformed"), (turns % 3).alias("unparsed"), (turns % 4).alias("overflow"), sys.alias("sys"),
+    )
+    return logstats.role_report(s.withColumn("role", ft.role_label(F.col("sys"), [("english", "the")])), 5)
 
 
 REDUNDANT = f"""WITH {CALLS}, e AS (SELECT *, sum(CASE WHEN kind = 'edit' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS epoch FROM c),
@@ -133,10 +138,8 @@ z AS (SELECT a.user_id, CAST(0.4 AS DOUBLE) + CAST(0.4 AS DOUBLE) * CAST(va AS I
  FROM a JOIN v ON a.user_id = v.user_id JOIN x ON a.user_id = x.user_id LEFT JOIN k ON a.user_id = k.user_id)
 SELECT user_id, round(CAST(0.25 AS DOUBLE) * f1 + CAST(0.2 AS DOUBLE) * f2 + CAST(0.2 AS DOUBLE) * f3 + CAST(0.1 AS DOUBLE) * f4 + CAST(0.2 AS DOUBLE) * f5 + CAST(0.05 AS DOUBLE) * f6, 6) AS score FROM z""")
 def curation_score(spark, d):
-    c = calls(spark, d).withColumn("edit", F.col("kind") == "edit")
-    out = c.groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if("err").alias("tool_errors"), F.count_if((F.col("kind") == "other") & (F.col("value") > 60)).alias("forbidden"), F.count_if(F.col("value") > 80).alias("long_thoughts"), F.count_if("edit").cast("double").alias("edits"))
-    for part in (sequences.edit_order(c, ["user_id"], "seq", "kind"), sequences.redundant(c, ["user_id"], ["seq"], "edit", "key"), sequences.failed_retries(c, ["user_id"], ["seq"], "err", "name")):
-        out = out.join(part, "user_id")
+    c = sequences.signals(calls(spark, d), ["user_id"], "seq", "name", "err", "kind", "key")
+    out = c.groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if("err").alias("tool_errors"), F.count_if((F.col("kind") == "other") & (F.col("value") > 60)).alias("forbidden"), F.count_if(F.col("value") > 80).alias("long_thoughts"), F.count_if(F.col("kind") == "edit").cast("double").alias("edits"), *sequences.signal_sums())
     size = F.when(F.col("edits") <= 15, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - F.log2(F.col("edits") / 15.0) / 4.0))
     return curate.scored(out.withColumn("read_before_edit", F.lit(1.0)), size).select("user_id", F.round("score", 6).alias("score"))
 
@@ -173,10 +176,24 @@ def kept_rejected_means(spark, d):
     return curate.feature_means(rows, ["acctbal", "custkey"])
 
 
-@query("SELECT count(*) AS input, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS eligible, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS kept, count(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS unmatched, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS instances, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey % 10 END) AS repos FROM orders")
+@query("""WITH i AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), p AS (SELECT o_custkey % 100 AS r, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT count(*) AS input, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS eligible, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS kept, count(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS unmatched, (SELECT count(*) FROM i) AS instances, (SELECT count(*) FROM p) AS repos, count(DISTINCT CASE WHEN o_totalprice > 100000 THEN o_custkey % 100 END) AS repos_eligible,
+ count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS excluded, CAST(70 AS BIGINT) AS target, count(CASE WHEN o_orderkey % 3 > 0 THEN 1 END) AS normalized, CAST(sum(o_orderkey % 3) AS BIGINT) AS turns_dropped, (SELECT count(*) FROM i WHERE n = 2) AS pairs, (SELECT count(*) FROM p WHERE n >= 50) AS repos_at_cap FROM orders""")
 def curation_counts(spark, d):
     o = _table(spark, d, "orders")
-    return curate.summary(o.select((F.col("o_totalprice") > 100000).alias("eligible"), (F.col("o_orderstatus") == "F").alias("kept"), (F.col("o_orderpriority") != "5-LOW").alias("patch_matched"), F.col("o_custkey").alias("instance_id"), (F.col("o_custkey") % 10).alias("repo")))
+    rows = o.select(
+        (F.col("o_totalprice") > 100000).alias("eligible"), (F.col("o_orderstatus") == "F").alias("kept"), (F.col("o_orderpriority") != "5-LOW").alias("patch_matched"), F.col("o_custkey").alias("instance_id"), (F.col("o_custkey") % 100).alias("repo"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("excluded"), F.lit(70).alias("target"), (F.col("o_orderkey") % 3).alias("dropped"),
+    )
+    return curate.summary(rows, 50)
+
+
+@query("""SELECT unnest(['leaves_root_or_build_files', 'edits_existing_test', 'with_forbidden_action']) AS flag, unnest([count(CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 1 END), count(CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN 1 END), count(CASE WHEN o_orderstatus = 'F' AND o_custkey % 5 > 0 THEN 1 END)]) AS kept,
+ unnest([count(CASE WHEN o_totalprice > 100000 AND o_orderkey % 3 = 0 THEN 1 END), count(CASE WHEN o_totalprice > 100000 AND o_orderkey % 4 = 0 THEN 1 END), count(CASE WHEN o_totalprice > 100000 AND o_custkey % 5 > 0 THEN 1 END)]) AS eligible FROM orders""")
+def curation_flags(spark, d):
+    o = _table(spark, d, "orders")
+    stats = F.struct((F.col("o_orderkey") % 3 == 0).alias("adds_root_file"), (F.col("o_orderkey") % 4 == 0).alias("edits_existing_test"))
+    return curate.flag_sums(o.select((F.col("o_orderstatus") == "F").alias("kept"), (F.col("o_totalprice") > 100000).alias("eligible"), stats.alias("patch_stats"), (F.col("o_custkey") % 5).alias("forbidden")))
 
 
 @query("SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_at FROM orders GROUP BY o_custkey ORDER BY n DESC, first_at LIMIT 15")
@@ -224,111 +241,153 @@ def scorer_time_projection(spark, d):
     return out.select("tasks", *(F.round(c, 4).alias(c) for c in ("mean_min", "median_min")), "solved", F.round("hours", 4).alias("hours"), "verdict")
 
 
-# ---- calls, shells and patches, on literals dealt over the documents ----------------------------------
+# ---- calls, shells and patches, written out of the tables' own columns ---------------------------------
 
-RAW = [
-    "<|channel>thought\nplan<channel|>Look.<|tool_call>call:read_file{filepath:<|\"|>a.py<|\"|>}<tool_call|><turn|>",
-    "<|tool_call>call:grep -rn foo .{}<tool_call|>",
-    "<|tool_call>call:read_file{filepath:<|\"|>a.py<|\"|>",
-    "plain text<eos>",
-    "<|channel>thought\nnever closed",
-    "<|tool_call>call:other{n:1}<tool_call|><|tool_call>call:read_file{a:<|\"|>x<|\"|>,n:[1,2.5,true,none]}<tool_call|><|tool_response>",
-    "<|tool_call>call:read_file{filepath=<|\"|>a<|\"|>}<tool_call|>",
-]
-DEALT = "SELECT doc_id, CAST(doc_id % {n} AS BIGINT) AS i FROM documents"
 
+GENERATED = r"""WITH e AS (SELECT event_id, user_id, event_type, props, '<|tool_call>call:' AS o, '<tool_call|>' AS c, '<|"|>' AS q FROM events),
+g AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Look. ' || o || event_type || '{n:' || user_id || '}' || c WHEN 1 THEN o || 'grep -rn ' || event_type || '{}' || c WHEN 2 THEN o || event_type || '{p:' || q || props || q
+ WHEN 3 THEN props WHEN 4 THEN o || 'x' || user_id % 3 || '{n:1}' || c || o || event_type || '{a:' || q || 'x' || q || '}' || c ELSE o || event_type || '{p=' || q || 'a' || q || '}' || c END AS raw FROM e)"""
 
-def _pick(values: list[str]) -> str:
-    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "][i + 1]"
 
+def _generated(spark, d) -> DataFrame:
+    """Every event as a generation: a call, one with words in its name, an open one, plain text, two calls, or damaged arguments."""
+    o, c, q, kind, user = "<|tool_call>call:", "<tool_call|>", '<|"|>', F.col("event_type"), F.col("user_id").cast("string")
+    forms = [
+        F.concat(F.lit(f"Look. {o}"), kind, F.lit("{n:"), user, F.lit("}" + c)), F.concat(F.lit(f"{o}grep -rn "), kind, F.lit("{}" + c)), F.concat(F.lit(o), kind, F.lit("{p:" + q), F.col("props"), F.lit(q)), F.col("props"),
+        F.concat(F.lit(f"{o}x"), (F.col("user_id") % 3).cast("string"), F.lit("{n:1}" + c + o), kind, F.lit("{a:" + q + "x" + q + "}" + c)), F.concat(F.lit(o), kind, F.lit("{p=" + q + "a" + q + "}" + c)),
+    ]
+    return _table(spark, d, "events").select("event_id", F.get(F.array(*forms), (F.col("event_id") % 6).cast("int")).alias("raw"))
 
-def _number(values: list) -> str:
-    return "[" + ", ".join(str(v).lower() for v in values) + "][i + 1]"
 
+@query(GENERATED + r""", n AS (SELECT event_id, raw, list_transform(regexp_extract_all(raw, '(?s)<\|tool_call>call:(.*?)(?:\{|<\|"\|>|<tool_call\|>)', 1), lambda x: trim(x)) AS names, regexp_extract_all(raw, '(?s)<\|tool_call>call:([\w\-\.]+)\{(.*?)\}<tool_call\|>', 1) AS calls FROM g)
+SELECT event_id, len(names) AS names, len(list_filter(names, lambda x: x NOT IN ('click', 'view'))) AS malformed, contains(raw, '<|tool_call>') AND len(calls) = 0 AS unparsed, len(list_filter(calls, lambda x: x NOT IN ('click', 'view'))) AS unknown, regexp_matches(raw, '`,\w+:|\{\w+="|\w+=<\|"\|>') AS damaged FROM n""")
+def call_classify(spark, d):
+    info = fc.classify(F.col("raw"), F.array(F.lit("click"), F.lit("view")))
+    return _generated(spark, d).select("event_id", info.alias("x")).select("event_id", F.size("x.names").cast("long").alias("names"), F.size("x.malformed_names").cast("long").alias("malformed"), F.col("x.unparsed").alias("unparsed"), F.size("x.unknown_tools").cast("long").alias("unknown"), F.col("x.damaged_args").alias("damaged"))
 
-def _dealt(spark, d, values: list[str]) -> DataFrame:
-    """Each document with the text at its number modulo the list's length."""
-    return _table(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int")).alias("v"))
 
+THOUGHT = """WITH r AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN t WHEN 1 THEN '<|channel>thought' || chr(10) || t || '<channel|>' || left(t, 20) WHEN 2 THEN 'aside<|channel>' || t WHEN 3 THEN t || '<channel|>after' ELSE '<|channel>' || t || '<channel|>' END || CASE doc_id % 4 WHEN 0 THEN '<eos>' WHEN 1 THEN '<turn|>' WHEN 2 THEN '<|tool_response>' ELSE '' END AS raw FROM r),
+p AS (SELECT doc_id, CASE WHEN suffix(raw, '<eos>') THEN left(raw, length(raw) - 5) WHEN suffix(raw, '<turn|>') THEN left(raw, length(raw) - 7) WHEN suffix(raw, '<|tool_response>') THEN left(raw, length(raw) - 16) ELSE raw END AS t FROM g)"""
 
-@query(f"SELECT doc_id, CAST({_number([1, 1, 1, 0, 0, 2, 1])} AS BIGINT) AS names, CAST({_number([0, 1, 0, 0, 0, 1, 0])} AS BIGINT) AS malformed, {_number([False, True, True, False, False, False, False])} AS unparsed, CAST({_number([0, 0, 0, 0, 0, 1, 0])} AS BIGINT) AS unknown, {_number([False, False, False, False, False, False, True])} AS damaged FROM ({DEALT.format(n=7)})")
-def call_classify(spark, d):
-    info = fc.classify(F.col("v"), F.array(F.lit("read_file"), F.lit("run_command")))
-    return _dealt(spark, d, RAW).select("doc_id", info.alias("x")).select("doc_id", F.size("x.names").cast("long").alias("names"), F.size("x.malformed_names").cast("long").alias("malformed"), F.col("x.unparsed").alias("unparsed"), F.size("x.unknown_tools").cast("long").alias("unknown"), F.col("x.damaged_args").alias("damaged"))
 
-
-@query(f"SELECT doc_id, {_pick(['plan', None, None, None, 'never closed', None, None])} AS reasoning, CAST({_number([len(RAW[0]) - 7 - 32, len(RAW[1]), len(RAW[2]), 10, -1, len(RAW[5]) - 16, len(RAW[6])])} AS BIGINT) AS content_chars FROM ({DEALT.format(n=7)})")
-def reasoning_split(spark, d):
-    x = fc.reasoning_split(fc.strip_stop(F.col("v")))
-    return _dealt(spark, d, RAW).select("doc_id", x["reasoning"].alias("reasoning"), F.coalesce(F.length(x["content"]), F.lit(-1)).cast("long").alias("content_chars"))
+def _thoughts(spark, d) -> DataFrame:
+    """Every document as a generation with a thought: none, closed, never opened or never closed, and a stop token."""
+    t, n = F.coalesce("text", F.lit("")), F.col("doc_id")
+    forms = [t, F.concat(F.lit("<|channel>thought\n"), t, F.lit("<channel|>"), F.left(t, F.lit(20))), F.concat(F.lit("aside<|channel>"), t), F.concat(t, F.lit("<channel|>after")), F.concat(F.lit("<|channel>"), t, F.lit("<channel|>"))]
+    stops = F.array(*map(F.lit, ["<eos>", "<turn|>", "<|tool_response>", ""]))
+    return _table(spark, d, "documents").select("doc_id", F.concat(F.get(F.array(*forms), (n % 5).cast("int")), F.get(stops, (n % 4).cast("int"))).alias("raw"))
 
 
-@query(f"SELECT doc_id, CAST({_number([len(r) - s for r, s in zip(RAW, [7, 0, 0, 5, 0, 16, 0])])} AS BIGINT) AS chars FROM ({DEALT.format(n=7)})")
+@query(f"{THOUGHT} SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM p")
 def strip_stop(spark, d):
-    return _dealt(spark, d, RAW).select("doc_id", F.length(fc.strip_stop(F.col("v"))).cast("long").alias("chars"))
+    t = fc.strip_stop(F.col("raw"))
+    return _thoughts(spark, d).select("doc_id", F.length(t).cast("long").alias("chars"), F.md5(t).alias("digest"))
 
 
-ARGS = ['filepath:<|"|>a.py<|"|>,n:3', "a:{b:[1,2],c:true}", "x:1.5,y:none,z:1e5", "no colon", "k:", 'q:[<|"|>a,b<|"|>,{m:2}]', "a:[[<|\"|>]]<|\"|>]]"]
-ARGS_JSON = ['{"filepath": "a.py", "n": 3}', '{"a": {"b": [1, 2], "c": true}}', '{"x": 1.5, "y": null, "z": "1e5"}', "{}", '{"k": ""}', '{"q": ["a,b", {"m": 2}]}', None]
+@query(f"""{THOUGHT}, o AS (SELECT doc_id, t, contains(t, '<|channel>') OR contains(t, '<channel|>') AS marked, CASE WHEN contains(t, '<|channel>') THEN substr(t, instr(t, '<|channel>') + 10) ELSE t END AS rest FROM p),
+x AS (SELECT doc_id, t, marked, instr(rest, '<channel|>') AS e, rest FROM o), y AS (SELECT *, CASE WHEN e > 0 THEN left(rest, e - 1) ELSE rest END AS th, CASE WHEN e > 0 THEN nullif(substr(rest, e + 10), '') END AS co FROM x)
+SELECT doc_id, md5(CASE WHEN marked THEN CASE WHEN starts_with(th, 'thought' || chr(10)) THEN substr(th, 9) ELSE th END END) AS reasoning, md5(CASE WHEN marked THEN co ELSE t END) AS content FROM y""")
+def reasoning_split(spark, d):
+    x = fc.reasoning_split(fc.strip_stop(F.col("raw")))
+    return _thoughts(spark, d).select("doc_id", F.md5(x["reasoning"]).alias("reasoning"), F.md5(x["content"]).alias("content"))
 
 
-@query(f"SELECT doc_id, {_pick(ARGS_JSON)} AS args, i = 6 AS hang FROM ({DEALT.format(n=7)})")
+@query(r"""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE '{"kind": "' || event_type || '", "n": ' || user_id || ', "v": ' || CAST(value AS VARCHAR) || ', "on": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END || ', "m": {"a": [' || user_id || ', "x' || event_id || '"]}}' END AS args, event_id % 7 = 0 AS hang FROM events""")
 def argument_grammar(spark, d):
-    return _dealt(spark, d, ARGS).select("doc_id", fc.parsed_arguments(F.col("v")).alias("p")).select("doc_id", "p.args", "p.hang")
-
-
-COMMANDS = ["cd /repo && python3.11 -m pytest -q", "FOO=1 timeout 60 pytest tests", "sed -i 's/a/b/' x.py", "cat > /tmp/s.py <<'EOF'\nx\nEOF", "echo hi > out.txt", "grep -rn foo .", "make test", "./run_tests.sh", "git apply p.diff", "rm -rf build", "env X=1 time python a.py", ""]
-PROGRAMS = ["python", "pytest", "sed", "cat", "echo", "grep", "make", "run_tests.sh", "git", "rm", "python", ""]
-CLASSES = ["run", "run", "edit", "scratch", "edit", "inspect", "run", "run", "edit", "other", "run", "other"]
-
-
-@query(f"SELECT doc_id, {_pick(PROGRAMS)} AS program, {_pick(CLASSES)} AS class, {_number([True, True, False, False, False, False, True, False, False, False, False, False])} AS is_test FROM ({DEALT.format(n=12)})")
+    """Events in the grammar of arguments; a bracket quoted within a nested list is what stands still."""
+    q, c = '<|"|>', lambda n: F.col(n).cast("string")
+    plain = F.concat(F.lit(f"kind:{q}"), "event_type", F.lit(f"{q},n:"), c("user_id"), F.lit(",v:"), c("value"), F.lit(",on:"), F.when(F.col("event_id") % 2 == 0, "true").otherwise("none"), F.lit(",m:{a:["), c("user_id"), F.lit(",x"), c("event_id"), F.lit("]}"))
+    hangs = F.concat(F.lit(f"a:[[{q}"), "event_type", F.lit(f"]]{q}]]"))
+    out = _table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, hangs).otherwise(plain).alias("v"))
+    return out.select("event_id", fc.parsed_arguments(F.col("v")).alias("p")).select("event_id", "p.args", "p.hang")
+
+
+COMMANDS = r"""WITH w AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'cd /r' || user_id || ' && ' WHEN 1 THEN 'FOO=' || user_id || ' timeout 60 ' WHEN 2 THEN 'env A=1 time ' WHEN 3 THEN 'cd a; cd b ; ' ELSE '' END
+ || CASE event_id % 13 WHEN 0 THEN 'python3.' || user_id % 12 || ' -m pytest -q' WHEN 1 THEN '/usr/bin/pytest tests' WHEN 2 THEN 'sed -i s/a/b/ x' || user_id || '.py' WHEN 3 THEN 'cat > /tmp/s' || user_id || '.py' WHEN 4 THEN 'echo hi > o' || user_id WHEN 5 THEN 'grep -rn w' || user_id || ' .'
+ WHEN 6 THEN 'make test' WHEN 7 THEN './run_tests.sh' WHEN 8 THEN 'git apply p' || user_id || '.diff' WHEN 9 THEN 'rm -rf build' WHEN 10 THEN 'python a' || user_id || '.py' WHEN 11 THEN 'ls -l' || chr(10) || 'pytest' ELSE '' END AS command FROM events),
+s AS (SELECT *, regexp_replace(trim(command), '^(?:cd\s+\S+\s*(?:&&|;)\s*)+', '') AS b1, regexp_replace(split_part(trim(command), chr(10), 1), '^(?:cd\s+\S+\s*(?:&&|;)\s*)+', '') AS f1, split_part(trim(command), chr(10), 1) AS line FROM w),
+t AS (SELECT *, regexp_replace(regexp_replace(trim(b1), '^(?:(?:[A-Za-z_][A-Za-z0-9_]*=\S*|export|env|time)(?:\s+|$))+', ''), '^timeout(?:\s+\S+)?(?:\s+|$)', '') AS b, regexp_replace(regexp_replace(trim(f1), '^(?:(?:[A-Za-z_][A-Za-z0-9_]*=\S*|export|env|time)(?:\s+|$))+', ''), '^timeout(?:\s+\S+)?(?:\s+|$)', '') AS f FROM s),
+u AS (SELECT *, list_filter(string_split_regex(trim(b), '\s+'), lambda x: x <> '') AS bw, list_filter(string_split_regex(trim(f), '\s+'), lambda x: x <> '') AS fw FROM t),
+v AS (SELECT *, split_part(coalesce(bw[1], ''), '/', -1) AS p0, split_part(coalesce(fw[1], ''), '/', -1) AS q0, array_to_string(bw[2:], ' ') AS args, array_to_string(fw[2:], ' ') AS rest FROM u),
+c AS (SELECT *, CASE WHEN regexp_full_match(p0, 'python[0-9.]*') THEN 'python' ELSE p0 END AS program, CASE WHEN regexp_full_match(q0, 'python[0-9.]*') THEN 'python' ELSE q0 END AS first FROM v),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '\bsed\s+-i|\bperl\s+-[a-z]*i|\bgit\s+apply\b|\bpatch\s+-p') OR first IN ('cat', 'tee', 'echo', 'printf') AND regexp_matches(rest, '>\s*\S') THEN CASE WHEN contains(line, '/tmp/') THEN 'scratch' ELSE 'edit' END
+ WHEN first IN ('python', 'pytest', 'py.test', 'nosetests', 'tox', 'nox', 'coverage', 'trial', 'unittest') OR suffix(first, '.sh') AND contains(first, 'test') OR first = 'make' AND contains(rest, 'test') THEN 'run'
+ WHEN first IN ('grep', 'egrep', 'fgrep', 'rg', 'ag', 'find', 'ls', 'cat', 'head', 'tail', 'sed', 'awk', 'wc', 'tree', 'nl', 'less', 'more', 'file', 'stat', 'git', 'pwd', 'which', 'type', 'du') THEN 'inspect' ELSE 'other' END AS class,
+ program IN ('pytest', 'py.test', 'nosetests', 'tox', 'nox') OR contains(command, '-m pytest') OR contains(command, '-m unittest') OR program = 'make' AND contains(args, 'test') AS is_test FROM c)"""
+
+
+def _commands(spark, d) -> DataFrame:
+    """Every event as a shell command: something to run, look at or edit, behind what a shell puts before it."""
+    user = F.col("user_id").cast("string")
+    leads = [F.concat(F.lit("cd /r"), user, F.lit(" && ")), F.concat(F.lit("FOO="), user, F.lit(" timeout 60 ")), F.lit("env A=1 time "), F.lit("cd a; cd b ; "), F.lit("")]
+    with_user = lambda before, after="": F.concat(F.lit(before), user, F.lit(after))
+    bodies = [
+        F.concat(F.lit("python3."), (F.col("user_id") % 12).cast("string"), F.lit(" -m pytest -q")), F.lit("/usr/bin/pytest tests"), with_user("sed -i s/a/b/ x", ".py"), with_user("cat > /tmp/s", ".py"), with_user("echo hi > o"), with_user("grep -rn w", " ."),
+        F.lit("make test"), F.lit("./run_tests.sh"), with_user("git apply p", ".diff"), F.lit("rm -rf build"), with_user("python a", ".py"), F.lit("ls -l\npytest"), F.lit(""),
+    ]
+    pick = lambda xs: F.get(F.array(*xs), (F.col("event_id") % len(xs)).cast("int"))
+    return _table(spark, d, "events").select("event_id", "user_id", F.concat(pick(leads), pick(bodies)).alias("command"))
+
+
+@query(f"{COMMANDS} SELECT event_id, program, class, is_test FROM k")
 def shell_classes(spark, d):
-    v = F.col("v")
-    return _dealt(spark, d, COMMANDS).select("doc_id", ft.main_program(v).alias("program"), ft.classify_command(v).alias("class"), ft.is_test_command(v).alias("is_test"))
+    v = F.col("command")
+    return _commands(spark, d).select("event_id", ft.main_program(v).alias("program"), ft.classify_command(v).alias("class"), ft.is_test_command(v).alias("is_test"))
 
 
-ERRORS = [
-    ("read_file", "", "error", None, "no such file", ""), ("read_file", "", "ok", None, "", ""), ("run_command", "pytest -q", "error", 1, "failed", ""), ("run_command", "pytest -q", "error", 4, "usage", ""),
-    ("run_command", "foo", "error", 127, "foo: command not found", ""), ("run_command", "grep x y", "error", 1, "", ""), ("run_command", "ls nope", "error", 2, "ls: cannot access", ""), ("run_command", "python a.py", "error", 1, "Traceback", "boom"),
-    ("run_command", "python nope.py", "error", 2, "python: can't open file", ""), ("get_status", "", "error", None, "x", ""),
-]
+INVOCATION = r"command not found|No such file or directory|can''t open file|cannot access|Permission denied|Is a directory|unrecognized arguments|invalid option|unknown option|illegal option|usage:|Usage:|syntax error near|ERROR: file or directory not found|ERROR: not found:|no tests ran|ERROR: usage"
 
 
-@query(f"SELECT doc_id, {_number([True, False, False, True, True, False, True, False, True, True])} AS tool_error FROM ({DEALT.format(n=10)})")
+@query(COMMANDS + rf""", r AS (SELECT *, CASE user_id % 4 WHEN 0 THEN 'read_file' ELSE 'run_command' END AS name, CASE WHEN event_id % 3 = 0 THEN 'ok' ELSE 'error' END AS status, [NULL, 0, 1, 2, 4, 126, 127][event_id % 7 + 1] AS code,
+ ['', 'No such file or directory', 'Traceback: can''t open file', 'usage: x', 'failed ' || user_id][event_id % 5 + 1] AS message, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'ls: cannot access ' || user_id END AS stderr FROM k),
+x AS (SELECT *, message || chr(10) || stderr AS said, coalesce(code = 1, false) AND program IN ('grep', 'egrep', 'fgrep', 'rg', 'ag') AND trim(message || stderr) = '' AS nothing FROM r)
+SELECT event_id, status = 'error' AND (name <> 'run_command' OR CASE WHEN coalesce(code IN (126, 127), false) THEN true WHEN is_test THEN coalesce(code IN (4, 5), false) WHEN program = 'python' THEN regexp_matches(left(said, 400), 'can''t open file|No such file or directory: ''/') AND NOT contains(said, 'Traceback')
+ WHEN program IN ('grep', 'egrep', 'fgrep', 'rg', 'ag', 'find', 'ls', 'cat', 'head', 'tail', 'sed', 'awk', 'wc', 'tree', 'nl', 'less', 'more', 'file', 'stat', 'git', 'pwd', 'which', 'type', 'du', 'cd', 'rm', 'mv', 'cp', 'mkdir') THEN NOT nothing AND (regexp_matches(said, '{INVOCATION}') OR code IS NULL OR code NOT IN (0, 1)) ELSE regexp_matches(left(said, 2000), '{INVOCATION}') END) AS tool_error FROM x""")
 def tool_error_rules(spark, d):
-    kinds = ["string", "string", "string", "int", "string", "string"]
-    row = lambda e: F.struct(*(F.lit(x).cast(k).alias(n) for n, k, x in zip(("name", "command", "status", "code", "message", "stderr"), kinds, e)))
-    v = F.element_at(F.array(*map(row, ERRORS)), (F.col("doc_id") % len(ERRORS) + 1).cast("int"))
-    out = _table(spark, d, "documents").select("doc_id", v.alias("v"))
-    return out.select("doc_id", ft.tool_error(*(F.col(f"v.{c}") for c in ("name", "command", "status", "code", "message", "stderr"))).alias("tool_error"))
+    n, user = F.col("event_id"), F.col("user_id").cast("string")
+    pick = lambda xs: F.get(F.array(*xs), (n % len(xs)).cast("int"))
+    code = pick([F.lit(None).cast("int"), *map(F.lit, (0, 1, 2, 4, 126, 127))])
+    message = pick([F.lit(""), F.lit("No such file or directory"), F.lit("Traceback: can't open file"), F.lit("usage: x"), F.concat(F.lit("failed "), user)])
+    stderr = F.when(n % 2 == 0, "").otherwise(F.concat(F.lit("ls: cannot access "), user))
+    error = ft.tool_error(F.when(F.col("user_id") % 4 == 0, "read_file").otherwise("run_command"), F.col("command"), F.when(n % 3 == 0, "ok").otherwise("error"), code, message, stderr)
+    return _commands(spark, d).select("event_id", error.alias("tool_error"))
 
 
-OUTCOMES = ['{"status": "ok"}', '{"status": "error", "error_message": "String Not Found"}', '{"status": "error"}', '{"result": "{\\"status\\": \\"error\\"}"}']
-
-
-@query(f"SELECT doc_id, {_pick(['ok', 'not_found', 'error', 'error'])} AS outcome FROM ({DEALT.format(n=4)})")
+@query("""WITH e AS (SELECT user_id, event_id FROM events WHERE event_type = 'purchase' AND event_id % 4 <> 0)
+SELECT 'r' AS role, CAST(user_id AS VARCHAR) AS key, count(CASE WHEN event_id % 3 = 0 THEN 1 END) AS edit_ok, count(CASE WHEN event_id % 3 = 1 THEN 1 END) AS edit_not_found, count(CASE WHEN event_id % 3 = 2 THEN 1 END) AS edit_error FROM e GROUP BY user_id""")
 def edit_outcomes(spark, d):
-    return _dealt(spark, d, OUTCOMES).select("doc_id", ft.edit_outcome(F.col("v")).alias("outcome"))
-
-
-PATCHES = [
-    "diff --git a/src/a.py b/src/a.py\n--- a/src/a.py\n+++ b/src/a.py\n@@ -1,2 +1,3 @@\n-x\n+y\n+z\n",
-    "diff --git a/tests/test_a.py b/tests/test_a.py\n@@\n+t\ndiff --git a/new.py b/new.py\nnew file mode 100644\n+n\ndiff --git a/setup.cfg b/setup.cfg\n@@\n-o\n+p\n",
-    "no header\n+lost\n",
-    "diff --git a/tests/test_b.py b/tests/test_b.py\nnew file mode 100644\n+t\n+u\n",
-]
-
-
-@query(f"SELECT doc_id, CAST({_number([1, 3, 0, 1])} AS BIGINT) AS files, CAST({_number([3, 4, 0, 2])} AS BIGINT) AS changed, CAST({_number([3, 0, 0, 0])} AS BIGINT) AS src_changed, CAST({_number([1, 0, 0, 0])} AS BIGINT) AS src_files, {_number([False, True, False, False])} AS edits_existing_test, {_number([False, False, False, True])} AS adds_test, {_number([False, True, False, False])} AS adds_root_file, {_number([False, True, False, False])} AS touches_config, CAST({_number([1.0, 0.144, 1.0, 0.8])} AS DOUBLE) AS patch_score FROM ({DEALT.format(n=4)})")
+    """Results of a session's edits; those that stand before their call, as every fourth, count for none."""
+    n = F.col("event_id")
+    kinds = "array<struct<id:string,function:struct<name:string,arguments:string>>>"
+    call = F.array(F.struct(n.cast("string").alias("id"), F.struct(F.when(F.col("kind") == "edit", "edit_file").otherwise(F.col("name")).alias("name"), F.lit("{}").alias("arguments")).alias("function"))).cast(kinds)
+    result = F.get(F.array(*map(F.lit, ['{"status": "ok"}', '{"status": "error", "error_message": "String Not Found"}', '{"result": "{\\"status\\": \\"error\\"}"}'])), (n % 3).cast("int"))
+    asked = F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("tool_call_id"), call.alias("tool_calls"))
+    told = F.struct(F.lit("tool").alias("role"), result.alias("content"), n.cast("string").alias("tool_call_id"), F.lit(None).cast(kinds).alias("tool_calls"))
+    rows = calls(spark, d).select("user_id", "seq", F.when(n % 4 == 0, F.array(told, asked)).otherwise(F.array(asked, told)).alias("said"))
+    found = rows.groupBy(F.lit("r").alias("role"), F.col("user_id").cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.struct("seq", "said"))).alias("all")).select("role", "key", F.flatten(F.transform("all", lambda x: x["said"])).alias("longest"))
+    return logstats.edit_outcomes(found, logstats.session_calls(found))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS k, l_partkey % 6 AS kind, l_partkey AS p, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) AS r FROM lineitem),
+s AS (SELECT k, count(*) AS files, CAST(sum(a + r) AS BIGINT) AS changed, CAST(coalesce(sum(CASE WHEN kind = 0 THEN a + r END), 0) AS BIGINT) AS src_changed, count(CASE WHEN kind = 0 THEN 1 END) AS src_files, bool_or(kind = 1) AS edits_existing_test, bool_or(kind = 2) AS adds_test, bool_or(kind = 4) AS adds_root_file, bool_or(kind = 3) AS touches_config FROM f GROUP BY k)
+SELECT *, round(CASE WHEN src_changed <= 15 THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), 1 - log2(CAST(src_changed AS DOUBLE) / 15) / 4) END * CASE WHEN src_files <= 2 THEN CAST(1 AS DOUBLE) WHEN src_files = 3 THEN 0.85 WHEN src_files = 4 THEN 0.7 ELSE 0.5 END
+ * CASE WHEN edits_existing_test THEN CAST(0.3 AS DOUBLE) ELSE 1 END * CASE WHEN adds_root_file THEN CAST(0.6 AS DOUBLE) ELSE 1 END * CASE WHEN adds_test THEN CAST(0.8 AS DOUBLE) ELSE 1 END * CASE WHEN touches_config THEN CAST(0.8 AS DOUBLE) ELSE 1 END, 6) AS patch_score FROM s""")
 def patch_stats(spark, d):
-    out = _dealt(spark, d, PATCHES).withColumn("s", ft.patch_stats(F.col("v")))
-    return out.select("doc_id", "s.*", F.round(ft.patch_score(F.col("s")), 6).alias("patch_score"))
+    """Every order as a diff: a line item is a file, with as many lines added as its quantity and removed as its number."""
+    kind, p = (F.col("l_partkey") % 6).cast("int"), F.col("l_partkey").cast("string")
+    path = F.get(F.array(F.concat(F.lit("src/m"), p, F.lit(".py")), F.concat(F.lit("tests/test_"), p, F.lit(".py")), F.concat(F.lit("tests/test_"), p, F.lit(".py")), F.lit("setup.cfg"), F.concat(F.lit("note"), p, F.lit(".py")), F.concat(F.lit("pkg/data"), p, F.lit(".txt"))), kind)
+    lines = F.concat(F.repeat(F.lit("-old\n"), F.col("l_linenumber").cast("int")), F.repeat(F.lit("+new\n"), F.col("l_quantity").cast("int")))
+    file = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n"), F.when(kind.isin(2, 4), "new file mode 100644\n").otherwise(""), F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n"), lines)
+    made = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(file)), "").alias("patch")).withColumn("s", ft.patch_stats(F.col("patch")))
+    return made.select("k", "s.*", F.round(ft.patch_score(F.col("s")), 6).alias("patch_score"))
 
 
-@query("SELECT doc_id, len(list_distinct(string_split(text, chr(10)))) AS lines FROM documents")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), f AS (SELECT doc_id, line, min(i) AS i FROM l GROUP BY doc_id, line)
+SELECT doc_id, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM f GROUP BY doc_id""")
 def ordered_distinct_lines(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.size(F.split(ft.distinct_lines(F.col("text")), "\n", -1)).cast("long").alias("lines"))
+    once = ft.distinct_lines(F.col("text"))
+    return _table(spark, d, "documents").select("doc_id", F.size(F.split(once, "\n", -1)).cast("long").alias("lines"), F.md5(once).alias("digest"))
 
 
 @query("""WITH l AS (SELECT d.doc_id, d.text, e.text AS later FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1), a AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM l), b AS (SELECT DISTINCT doc_id, unnest(string_split(later, chr(10))) AS line FROM l)
@@ -339,12 +398,16 @@ def line_subset(spark, d):
     return pairs.select("doc_id", ft.line_subset(F.col("text"), F.col("later")).alias("within"))
 
 
-LISTINGS = ["/workspace/\n/workspace/b\n/workspace/a/\n/workspace/a/.git\n/workspace/b", "other\n/workspace/a"]
-
-
-@query(f"SELECT doc_id, {_pick([chr(10).join(['.', './a', './b']), ''])} AS tree FROM ({DEALT.format(n=2)})")
+@query("""WITH n AS (SELECT c_nationkey, list_sort(list_distinct(list('./' || replace(c_name, '#', '/')))) AS names FROM customer WHERE c_custkey % 9 <> 4 GROUP BY c_nationkey)
+SELECT k.n_nationkey AS nation, CASE WHEN k.n_nationkey % 4 = 3 THEN md5('') ELSE md5(array_to_string(list_concat(['.'], coalesce(n.names, [])[1:149]), chr(10))) END AS tree FROM nation k LEFT JOIN n ON n.c_nationkey = k.n_nationkey""")
 def tree_listing(spark, d):
-    return _dealt(spark, d, LISTINGS).select("doc_id", ft.tree_listing(F.col("v")).alias("tree"))
+    """Every nation's customers as a listing, folders with a slash behind, some hidden, some twice; every fourth has another root."""
+    c = _table(spark, d, "customer")
+    name = F.concat(F.lit("/workspace/"), F.when(F.col("c_custkey") % 9 == 4, F.lit(".git/")).otherwise(F.lit("")), F.replace(F.col("c_name"), F.lit("#"), F.lit("/")), F.when(F.col("c_custkey") % 2 == 0, F.lit("/")).otherwise(F.lit("")))
+    lists = c.groupBy("c_nationkey").agg(F.flatten(F.collect_list(F.when(F.col("c_custkey") % 3 == 0, F.array(name, name)).otherwise(F.array(name)))).alias("l"))
+    all_ = _table(spark, d, "nation").join(lists, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    listing = F.concat(F.when(F.col("n_nationkey") % 4 == 3, "/other/\n").otherwise("/workspace/\n"), F.coalesce(F.array_join("l", "\n"), F.lit("")))
+    return all_.select(F.col("n_nationkey").alias("nation"), F.md5(ft.tree_listing(listing)).alias("tree"))
 
 
 @query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -395,33 +458,31 @@ def paired_directions(spark, d):
     return replay.paired(rows, ["value"], "click").select("cond", "lower", "higher", "tied")
 
 
-SIGNS = [(0, 0), (10, 0), (3, 3), (2, 7), (40, 60)]
-SIGN_P = [1.0, 0.001953, 1.0, 0.179688, 0.056888]
-
-
-@query(f"SELECT doc_id, CAST({_number(SIGN_P)} AS DOUBLE) AS p FROM ({DEALT.format(n=5)})")
+@query("""WITH c AS (SELECT user_id, count(CASE WHEN value < 10 THEN 1 END) AS lo, count(CASE WHEN value > 10 AND event_type = 'click' THEN 1 END) AS hi FROM events GROUP BY user_id),
+t AS (SELECT user_id, lo + hi AS n, unnest(range(least(lo, hi) + 1)) AS i FROM c)
+SELECT user_id, round(CASE WHEN n = 0 THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(CAST(2 AS DOUBLE))))) END, 6) AS p FROM t GROUP BY user_id, n""")
 def sign_test(spark, d):
-    v = F.element_at(F.array(*(F.struct(F.lit(a).cast("long").alias("lower"), F.lit(b).cast("long").alias("higher")) for a, b in SIGNS)), (F.col("doc_id") % 5 + 1).cast("int"))
-    return _table(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", "v.*").select("doc_id", F.round(selection.sign_test("lower", "higher"), 6).alias("p"))
+    counts = _table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("value") < 10).alias("lower"), F.count_if((F.col("value") > 10) & (F.col("event_type") == "click")).alias("higher"))
+    return counts.select("user_id", F.round(selection.sign_test("lower", "higher"), 6).alias("p"))
 
 
 def _samples(spark, d) -> DataFrame:
-    """Assistant turns as samples: every third one calls a tool, every fifth an undeclared one, some are cut."""
+    """Assistant turns as samples: every third one calls a tool, every fifth an undeclared one, some are cut, and every seventh has a raw text with damaged arguments."""
     t = _table(spark, d, "conversations").where("role = 'assistant'")
     n = F.col("conv_id") + F.col("turn")
     tool = F.array(F.struct(F.when(n % 5 == 0, "rm").otherwise("read_file").alias("name"), F.lit("{}").alias("arguments")))
     return t.select(
-        F.col("conv_id").alias("ctx"), F.when(F.col("turn") < 3, "early").otherwise("late").alias("cond"), F.col("turn").alias("k"), F.lit(None).cast("string").alias("raw"), F.when(n % 4 == 0, F.concat(F.col("text"), F.lit("<|tool_call>"))).otherwise(F.col("text")).alias("content"),
+        F.col("conv_id").alias("ctx"), F.when(F.col("turn") < 3, "early").otherwise("late").alias("cond"), F.col("turn").alias("k"), F.when(n % 7 == 0, F.concat(F.lit("<|tool_call>call:"), F.when(n % 2 == 0, "read_file").otherwise("rm -rf"), F.lit('{a="x}<tool_call|>'))).alias("raw"), F.when(n % 4 == 0, F.concat(F.col("text"), F.lit("<|tool_call>"))).otherwise(F.col("text")).alias("content"),
         F.when(n % 3 == 0, tool).otherwise(F.array().cast("array<struct<name:string,arguments:string>>")).alias("calls"), F.array(F.lit("read_file")).alias("declared"), F.struct(F.lit("read_file").alias("name"), F.lit("{}").alias("arguments")).alias("prev_call"),
         F.length("text").alias("completion_tokens"), F.when(F.length("text") > 900, "length").otherwise("stop").alias("finish"),
     )
 
 
 METRIC = """WITH s AS (SELECT CASE WHEN turn < 3 THEN 'early' ELSE 'late' END AS cond, conv_id + turn AS n, length(text) AS chars, trim(text) AS t FROM conversations WHERE role = 'assistant'),
-m AS (SELECT cond, 'malformed_name' AS metric, CASE WHEN n % 3 = 0 AND n % 5 = 0 THEN 1 ELSE 0 END AS v FROM s UNION ALL SELECT cond, 'unparsed_call', CASE WHEN n % 4 = 0 AND n % 3 <> 0 THEN 1 ELSE 0 END FROM s
+m AS (SELECT cond, 'malformed_name' AS metric, CASE WHEN n % 7 = 0 THEN n % 2 WHEN n % 3 = 0 AND n % 5 = 0 THEN 1 ELSE 0 END AS v FROM s UNION ALL SELECT cond, 'unparsed_call', CASE WHEN n % 4 = 0 AND n % 3 <> 0 THEN 1 ELSE 0 END FROM s
 UNION ALL SELECT cond, 'unknown_tool', CASE WHEN n % 3 = 0 AND n % 5 = 0 THEN 1 ELSE 0 END FROM s UNION ALL SELECT cond, 'no_tool_call', CASE WHEN n % 3 <> 0 THEN 1 ELSE 0 END FROM s
 UNION ALL SELECT cond, 'text_only', CASE WHEN n % 3 <> 0 AND n % 4 <> 0 AND t <> '' THEN 1 ELSE 0 END FROM s UNION ALL SELECT cond, 'exact_repeat', CASE WHEN n % 3 = 0 AND n % 5 <> 0 THEN 1 ELSE 0 END FROM s
-UNION ALL SELECT cond, 'damaged_args', 0 FROM s UNION ALL SELECT cond, 'finish_length', CASE WHEN chars > 900 THEN 1 ELSE 0 END FROM s)
+UNION ALL SELECT cond, 'damaged_args', CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END FROM s UNION ALL SELECT cond, 'finish_length', CASE WHEN chars > 900 THEN 1 ELSE 0 END FROM s)
 SELECT cond, metric, count(*) AS n, CAST(sum(v) AS BIGINT) AS hits, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM m GROUP BY cond, metric
 UNION ALL SELECT cond, 'completion_tokens', count(*), NULL, round(avg(CAST(chars AS DOUBLE)), 6) FROM s GROUP BY cond"""
 
@@ -432,33 +493,38 @@ def metric_rates(spark, d):
     return replay.rates(replay.records(_samples(spark, d), names), names).withColumn("mean", F.round("mean", 6))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), p AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1),
-x AS (SELECT vec_id, greatest(abs(CAST(a[1] AS DOUBLE) - b[1]), abs(CAST(a[2] AS DOUBLE) - b[2]), abs(CAST(a[3] AS DOUBLE) - b[3]), CAST(a[4] AS DOUBLE) - least(b[1], b[2], b[3], b[5]), CAST(b[5] AS DOUBLE) - least(a[1], a[2], a[3], a[4]), CAST(0 AS DOUBLE)) AS dlt FROM p)
-SELECT vec_id, round(dlt, 6) AS delta FROM x""")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id, a.e AS a, b.e AS b, len(a.e) AS n FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(greatest(CAST(0 AS DOUBLE), list_max(list_transform(range(2, n), lambda i: abs(a[i] - b[i]))), a[1] - list_min(b[2:n]), b[n] - list_min(a[1:n - 1])), 6) AS delta FROM p""")
 def map_delta(spark, d):
-    m = lambda c, dims: F.create_map(*(x for i in dims for x in (F.lit(f"t{i}"), F.get(c, F.lit(i - 1)).cast("double"))))
-    e = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    """Neighbouring vectors as maps of token to number: one lacks the last component, the other the first."""
+    e = _table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
-    return pairs.select("vec_id", F.round(joins.map_delta(m(F.col("e"), (1, 2, 3, 4)), m(F.col("f"), (1, 2, 3, 5))), 6).alias("delta"))
+    some = lambda c, first, last: F.map_from_arrays(F.transform(F.sequence(first, last), lambda i: F.concat(F.lit("t"), i.cast("string"))), F.slice(c, first, last - first + 1))
+    return pairs.select("vec_id", F.round(joins.map_delta(some("e", F.lit(1), F.size("e") - 1), some("f", F.lit(2), F.size("f"))), 6).alias("delta"))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), m AS (SELECT vec_id % 20 AS label, CASE WHEN vec_id % 60 < 20 THEN 'base' WHEN vec_id % 60 < 40 THEN 'base_repeat' ELSE 'adapter' END AS role, x, y FROM v WHERE vec_id < 60),
-w AS (SELECT label, max(CASE WHEN role = 'base' THEN x END) AS bx, max(CASE WHEN role = 'base' THEN y END) AS b_y, max(CASE WHEN role = 'base_repeat' THEN x END) AS rx, max(CASE WHEN role = 'base_repeat' THEN y END) AS ry, max(CASE WHEN role = 'adapter' THEN x END) AS ax, max(CASE WHEN role = 'adapter' THEN y END) AS a_y FROM m GROUP BY label),
-z AS (SELECT *, greatest(abs(bx - rx), abs(b_y - ry)) AS noise, greatest(abs(bx - ax), abs(b_y - a_y)) AS d FROM w)
-SELECT 't' || CAST(label AS VARCHAR) AS label, 'lora' AS adapter, (bx >= b_y) <> (ax >= a_y) OR d > greatest(CAST(0.05 AS DOUBLE), 5 * noise) AS differs, round(d, 6) AS max_dlogprob, round(noise, 6) AS noise, round(greatest(CAST(0.05 AS DOUBLE), 5 * noise), 6) AS threshold FROM z""")
+@query("""WITH v AS (SELECT vec_id // 3 AS label, vec_id % 3 AS role, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+w AS (SELECT label, max(CASE WHEN role = 0 THEN e END) AS b, max(CASE WHEN role = 1 THEN e END) AS r, max(CASE WHEN role = 2 THEN e END) AS a FROM v GROUP BY label),
+z AS (SELECT *, list_max(list_transform(range(1, len(b) + 1), lambda i: abs(b[i] - r[i]))) AS noise, list_max(list_transform(range(1, len(b) + 1), lambda i: abs(b[i] - a[i]))) AS d FROM w)
+SELECT 't' || CAST(label AS VARCHAR) AS label, 'lora' AS adapter, CASE WHEN b IS NULL OR r IS NULL THEN 'base: no answer' WHEN a IS NULL THEN 'no answer' END AS error, CASE WHEN b IS NOT NULL AND r IS NOT NULL AND a IS NOT NULL THEN list_position(b, list_max(b)) <> list_position(a, list_max(a)) OR d > greatest(CAST(0.05 AS DOUBLE), 5 * noise) END AS differs,
+ CASE WHEN b IS NOT NULL AND r IS NOT NULL AND a IS NOT NULL THEN round(d, 6) END AS max_dlogprob, CASE WHEN b IS NOT NULL AND r IS NOT NULL AND a IS NOT NULL THEN round(noise, 6) END AS noise, CASE WHEN b IS NOT NULL AND r IS NOT NULL AND a IS NOT NULL THEN round(greatest(CAST(0.05 AS DOUBLE), 5 * noise), 6) END AS threshold FROM z""")
 def canary_verdicts(spark, d):
-    v = _table(spark, d, "embeddings").where("vec_id < 60")
-    top = F.create_map(F.lit("x"), F.get("embedding", F.lit(0)).cast("double"), F.lit("y"), F.get("embedding", F.lit(1)).cast("double"))
-    role = F.when(F.col("vec_id") < 20, "base").when(F.col("vec_id") < 40, "base_repeat").otherwise("lora")
-    samples = v.select(F.concat(F.lit("t"), (F.col("vec_id") % 20).cast("string")).alias("label"), role.alias("role"), top.alias("top"), F.lit(None).cast("string").alias("error"))
+    """Three vectors in a row are one label: a base run, its repeat and an adapter's; all components are compared."""
+    v = _table(spark, d, "embeddings")
+    top = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: F.concat(F.lit("t"), i.cast("string"))), F.transform("embedding", lambda x: x.cast("double")))
+    role = F.get(F.array(*map(F.lit, ("base", "base_repeat", "lora"))), (F.col("vec_id") % 3).cast("int"))
+    samples = v.select(F.concat(F.lit("t"), F.expr("vec_id div 3").cast("string")).alias("label"), role.alias("role"), top.alias("top"), F.lit(None).cast("string").alias("error"))
     out = checks.canary_rows(samples, ["lora"])
-    return out.select("label", "adapter", "differs", *(F.round(c, 6).alias(c) for c in ("max_dlogprob", "noise", "threshold")))
+    return out.select("label", "adapter", "error", "differs", *(F.round(c, 6).alias(c) for c in ("max_dlogprob", "noise", "threshold")))
 
 
-@query("WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 <> 0), l AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY l_partkey) SELECT coalesce(p.k, l.k) AS name, CASE WHEN l.k IS NULL THEN 'missing' WHEN p.k IS NULL THEN 'extra' WHEN l.n <> 30 THEN 'shape_bad' ELSE 'same' END AS state FROM p FULL OUTER JOIN l ON p.k = l.k")
+@query("WITH p AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN -1 - p_partkey ELSE p_partkey END AS k FROM part), l AS (SELECT CASE WHEN l_partkey % 5 = 0 THEN 1000000000000 + l_partkey ELSE l_partkey END AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT coalesce(p.k, l.k) AS name, CASE WHEN l.k IS NULL THEN 'missing' WHEN p.k IS NULL THEN 'extra' WHEN l.n <> 30 THEN 'shape_bad' ELSE 'same' END AS state FROM p FULL OUTER JOIN l ON p.k = l.k")
 def key_shape_compare(spark, d):
-    expected = _table(spark, d, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("name"), F.lit(30).cast("long").alias("shape"))
-    found = _table(spark, d, "lineitem").where("l_partkey % 5 <> 0").groupBy(F.col("l_partkey").alias("name")).agg(F.count("*").alias("shape"))
+    """Whole tables; a seventh of the parts' keys and a fifth of the line items' have other names, which only one side has."""
+    k = F.col("p_partkey").cast("long")
+    expected = _table(spark, d, "part").select(F.when(k % 7 == 0, -1 - k).otherwise(k).alias("name"), F.lit(30).cast("long").alias("shape"))
+    k = F.col("l_partkey").cast("long")
+    found = _table(spark, d, "lineitem").groupBy(F.when(k % 5 == 0, F.lit(10**12) + k).otherwise(k).alias("name")).agg(F.count("*").alias("shape"))
     return joins.compare_keys(expected, found, "name", "shape")
 
 
@@ -470,11 +536,13 @@ def request_overflow(spark, d):
     return t.select("conv_id", "turn", "tokens", x.alias("x")).select("conv_id", "turn", "tokens", "x.ok", "x.parameter", "x.value", (F.col("x.qualifier") != "").alias("at_least"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN 'raw' ELSE 'single' END AS encoding FROM events")
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN 'raw' WHEN 3 THEN 'single' WHEN 4 THEN 'parts' ELSE 'other' END AS encoding FROM events")
 def encoding_detect(spark, d):
+    """Every event's props as a tool's result: as they are, wrapped, no JSON, wrapped words, a list of parts, or an object."""
     p = F.col("props")
-    value = F.when(F.col("event_id") % 4 == 0, p).when(F.col("event_id") % 4 == 1, F.to_json(F.struct(p.alias("result")))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("not json "), p)).otherwise(F.to_json(F.struct(F.lit("plain words").alias("result"))))
-    return _table(spark, d, "events").select("event_id", ft.result_encoding(value).alias("encoding"))
+    texts = [p, F.to_json(F.struct(p.alias("result"))), F.concat(F.lit("not json "), p), F.to_json(F.struct(F.concat(F.lit("plain "), p).alias("result")))]
+    given = [*(F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2) for t in texts), F.to_json(F.array(F.struct(F.lit("text").alias("type"), p.alias("text")))), p]
+    return _table(spark, d, "events").select("event_id", ft.variant_encoding(F.parse_json(F.get(F.array(*given), (F.col("event_id") % 6).cast("int")))).alias("encoding"))
 
 
 def _smoke(spark, d) -> DataFrame:
@@ -531,24 +599,42 @@ def reason_counts(spark, d):
     return reasons(_table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "unresolved").when(F.col("o_totalprice") > 300000, "too_long").alias("reason")))
 
 
-@query("""WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 2 = 0), r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 2 = 1)
-SELECT l.o_custkey AS key, l.o_orderkey AS ord, r.o_orderkey AS took FROM l LEFT JOIN r ON l.o_custkey = r.o_custkey AND l.n = r.n""")
+@query("""WITH RECURSIVE l AS (SELECT o_custkey AS k, o_orderkey AS o, o_orderkey % 3 AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F'), q AS (SELECT o_custkey AS k, o_orderkey AS o, (o_orderkey // 3) % 3 AS size FROM orders WHERE o_orderstatus <> 'O'),
+r AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS took FROM l GROUP BY k
+ UNION ALL SELECT x.k, x.n, coalesce(x.took, x.used), x.ord, x.took FROM (SELECT r.k, l.n, r.used, l.o AS ord, min(q.o) AS took FROM r JOIN l ON l.k = r.k AND l.n = r.n + 1 LEFT JOIN q ON q.k = r.k AND q.size = l.size AND q.o > r.used GROUP BY r.k, l.n, r.used, l.o) x)
+SELECT k AS key, ord, took FROM r WHERE n > 0""")
 def sequenced_match(spark, d):
-    o = _table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"), F.lit(1).alias("size"))
-    right = o.where("ord % 2 = 1").select("key", F.col("ord").alias("at"), "size", F.col("ord").alias("took"))
-    return joins.sequenced_match(o.where("ord % 2 = 0"), right, "key", "ord", "at", ["size"], "took").select("key", "ord", "took")
+    """Open and pending orders take, in order, the customer's next filled or pending one of equal size; many find none."""
+    o = _table(spark, d, "orders")
+    left = o.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 3).alias("size"))
+    right = o.where("o_orderstatus <> 'O'").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("at"), F.expr("(o_orderkey div 3) % 3").alias("size"), F.col("o_orderkey").alias("took"))
+    return joins.sequenced_match(left, right, "key", "ord", "at", ["size"], "took").select("key", "ord", "took")
 
 
-@query(f"{RUNS} SELECT user_id, CAST(max(island) AS BIGINT) AS n_kept, count(*) - CAST(max(island) AS BIGINT) AS n_dropped FROM i GROUP BY user_id")
+@query(f"""WITH RECURSIVE {CALLS}, t AS (SELECT user_id, seq, name, CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 + event_id % 3 END AS k FROM c),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS kept FROM (SELECT DISTINCT user_id FROM t)
+ UNION ALL SELECT t.user_id, t.seq, t.name, CASE WHEN coalesce(t.name = r.name, false) AND t.k = r.k THEN r.k ELSE t.k END, r.kept + CASE WHEN coalesce(t.name = r.name, false) AND t.name <> 'signup' AND (t.k = r.k OR r.k > 0 AND t.k > r.k) THEN 0 ELSE 1 END FROM r JOIN t ON t.user_id = r.user_id AND t.seq = r.seq + 1)
+SELECT user_id, max(kept) AS n_kept, max(seq) - max(kept) AS n_dropped FROM r GROUP BY user_id""")
 def collapse_adjacent(spark, d):
-    c = calls(spark, d).select("user_id", "seq", "name", F.lit("{}").alias("args"), F.concat(F.lit("out\n"), "name").alias("result"))
-    return sequences.collapse_adjacent(c, ["user_id"], ["seq"], "name", "args", "result", keep_apart="never").select("user_id", "n_kept", "n_dropped")
+    """Events as turns whose results have none to three lines, each a part of the longer ones; signups are never folded."""
+    lines = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.array_join(F.slice(F.array(*map(F.lit, ("one", "two", "three"))), F.lit(1), (1 + F.col("event_id") % 3).cast("int")), "\n"))
+    c = calls(spark, d).select("user_id", "seq", "name", F.lit("{}").alias("args"), lines.alias("result"))
+    return sequences.collapse_adjacent(c, ["user_id"], ["seq"], "name", "args", "result", keep_apart="signup").select("user_id", "n_kept", "n_dropped")
 
 
-@query("SELECT s AS step, round(CASE WHEN s <= 20 THEN s * CAST(0.001 AS DOUBLE) / 20 WHEN s <= 100 THEN CAST(0.001 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) * (CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * CAST(0.5 AS DOUBLE) * (1 + cos(pi() * least(CAST(1 AS DOUBLE), (s - 100) / CAST(200 AS DOUBLE))))) END, 9) AS rate FROM (SELECT CAST(unnest(range(1, 401)) AS BIGINT) AS s)")
+@query("SELECT o_orderkey, round(CASE WHEN s <= 20 THEN s * CAST(0.001 AS DOUBLE) / 20 WHEN s <= 100 THEN CAST(0.001 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) * (CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * CAST(0.5 AS DOUBLE) * (1 + cos(pi() * least(CAST(1 AS DOUBLE), (s - 100) / CAST(200 AS DOUBLE))))) END, 9) AS rate FROM (SELECT o_orderkey, o_custkey % 400 AS s FROM orders)")
 def lr_schedule(spark, d):
-    steps = spark.range(1, 401).withColumnRenamed("id", "step")
-    return checks.learning_rates(steps, "step", 0.001, 20, 100, 300, 0.1).withColumn("rate", F.round("rate", 9))
+    steps = _table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 400).alias("step"))
+    return checks.learning_rates(steps, "step", 0.001, 20, 100, 300, 0.1).select("o_orderkey", F.round("rate", 9).alias("rate"))
+
+
+@query("""WITH s AS (SELECT user_id AS run, event_id AS step, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 299 PRECEDING AND CURRENT ROW) AS t, CAST(3600 AS DOUBLE) - event_id % 5000 AS room FROM events)
+SELECT run, step, greatest(least(20000, step + greatest(CAST(floor(CAST(0.97 AS DOUBLE) * room / (t + 2 * CAST(43 AS DOUBLE) / 50)) AS BIGINT), 0)), step) AS horizon FROM s""")
+def horizon_fit(spark, d):
+    """Every event as a training step of its user: how many steps still fit, and where the schedule is to end."""
+    rows = _table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value", (F.lit(3600.0) - F.col("event_id") % 5000).alias("room"))
+    timed = checks.trailing_mean(rows, "step", "value", 300, "t", ["run"])
+    return timed.select("run", "step", checks.horizon(F.col("step"), F.col("t"), F.lit(43.0), F.col("room"), 20_000, 50, 2).alias("horizon"))
 
 
 @query("SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user FROM conversations")
@@ -593,30 +679,34 @@ def masked_loss_mean(spark, d):
     return rows.groupBy("l_returnflag").agg(F.round(checks.masked_mean("l_quantity", "w"), 6).alias("loss"))
 
 
-OOM = ["HLO temporaries (19.62G) exceeds available HBM", "Used 512.5M of 1G", "fine", "used 3T of x"]
-
-
-@query(f"SELECT doc_id, CAST({_number([19.62, 0.5, 'NULL', 3072.0])} AS DOUBLE) AS gib FROM ({DEALT.format(n=4)})")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE round(p_retailprice * [pow(2, -20), pow(2, -10), CAST(1 AS DOUBLE), CAST(1024 AS DOUBLE)][p_partkey % 4 + 1], 3) END AS gib FROM part""")
 def memory_figures(spark, d):
-    return _dealt(spark, d, OOM).select("doc_id", ft.memory_gib(F.col("v")).alias("gib"))
-
-
-LAYERS = ["0,5,30-33", "7", "2-4,3"]
+    """Every part's price as the figure of an out-of-memory message, in four units; every fifth message has none."""
+    n, price = F.col("p_partkey"), F.concat(F.col("p_retailprice").cast("string"), F.get(F.array(*map(F.lit, "KMGT")), (F.col("p_partkey") % 4).cast("int")))
+    said = F.when(n % 5 == 4, "fine").when(n % 2 == 0, F.concat(F.lit("HLO temporaries ("), price, F.lit(") exceeds available HBM"))).otherwise(F.concat(F.lit("Used "), price, F.lit(" of 1G")))
+    return _table(spark, d, "part").select("p_partkey", ft.memory_gib(said).alias("gib"))
 
 
-@query(f"SELECT doc_id, {_pick(['0,5,30,31,32,33', '7', '2,3,4'])} AS layers FROM ({DEALT.format(n=3)})")
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat([p_partkey % 8], range(p_partkey % 5, p_partkey % 5 + p_size % 4 + 1)))), ',') AS layers FROM part")
 def layer_specs(spark, d):
-    return _dealt(spark, d, LAYERS).select("doc_id", F.array_join(ft.layer_numbers(F.col("v")).cast("array<string>"), ",").alias("layers"))
+    n = lambda c, m: (F.col(c) % m).cast("string")
+    spec = F.concat(n("p_partkey", 8), F.lit(", "), n("p_partkey", 5), F.lit("-"), (F.col("p_partkey") % 5 + F.col("p_size") % 4).cast("string"))
+    return _table(spark, d, "part").select("p_partkey", F.array_join(ft.layer_numbers(spec).cast("array<string>"), ",").alias("layers"))
 
 
-TOKENS = [[100, 1, 2, 3, 4, 5], [1, 100, 2, 101, 3, 100, 4, 5, 6], [1, 2, 3], [100, 101, 5]]
+TOKENS = f"""{CALLS}, t AS (SELECT user_id, seq, CAST(CASE name WHEN 'click' THEN 100 WHEN 'view' THEN 101 ELSE event_id % 90 END AS INTEGER) AS t FROM c)"""
 
 
-@query(f"SELECT doc_id, {_pick(['100,1,2,101,4,5', '1,100,2,101,3,100,4,5,101', '1,2,3', '100,101,5'])} AS emitted FROM ({DEALT.format(n=4)})")
+@query(f"""WITH RECURSIVE {TOKENS},
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS INTEGER) AS emit, false AS inside, 0 AS cnt, false AS forced FROM (SELECT DISTINCT user_id FROM t)
+ UNION ALL SELECT user_id, seq, emit, now AND n < 2, n, now AND n >= 2 FROM (SELECT x.user_id, x.seq, x.emit, CASE WHEN x.f THEN false WHEN x.emit = 100 THEN true WHEN x.emit = 101 THEN false ELSE x.inside END AS now, CASE WHEN NOT x.f AND x.emit IN (100, 101) THEN 0 WHEN NOT x.f AND x.inside THEN x.cnt + 1 ELSE x.cnt END AS n
+  FROM (SELECT r.user_id, t.seq, CASE WHEN r.forced THEN 101 ELSE t.t END AS emit, r.inside, r.cnt, r.forced AS f FROM r JOIN t ON t.user_id = r.user_id AND t.seq = r.seq + 1) x) y)
+SELECT user_id, md5(string_agg(CAST(emit AS VARCHAR), ',' ORDER BY seq)) AS emitted, count(CASE WHEN emit = 101 THEN 1 END) AS closed FROM r WHERE seq > 0 GROUP BY user_id""")
 def thinking_budget(spark, d):
-    v = F.element_at(F.array(*(F.array(*map(F.lit, t)) for t in TOKENS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    out = _table(spark, d, "documents").select("doc_id", v.alias("v"))
-    return out.select("doc_id", F.array_join(fr.budgeted(F.col("v"), 2).cast("array<string>"), ",").alias("emitted"))
+    """Every user's events as a model's tokens: clicks open a thought, views close it; two tokens are the budget."""
+    t = F.when(F.col("name") == "click", 100).when(F.col("name") == "view", 101).otherwise((F.col("event_id") % 90).cast("int"))
+    rows = calls(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", t.alias("t")))).alias("all")).select("user_id", fr.budgeted(F.transform("all", lambda x: x["t"]), 2).alias("out"))
+    return rows.select("user_id", F.md5(F.array_join(F.col("out").cast("array<string>"), ",")).alias("emitted"), F.size(F.filter("out", lambda x: x == 101)).cast("long").alias("closed"))
 
 
 def _conversions(spark, d) -> DataFrame:
@@ -630,7 +720,7 @@ def _conversions(spark, d) -> DataFrame:
     kinds = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
     none = F.lit(None).cast("string")
     said = F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"), none.alias("name"), none.alias("tool_call_id"), F.when(F.col("turn") == F.col("end"), F.array(bash, call("finish", F.lit("{}")))).otherwise(F.array(bash)).cast(kinds).alias("tool_calls"))
-    seen = F.struct(F.lit("tool").alias("role"), F.concat(F.left("text", F.lit(100)), F.lit("\n[The command completed with exit code 0.]")).alias("content"), F.lit("execute_bash").alias("name"), F.concat_ws("-", F.lit("execute_bash"), F.col("turn").cast("string")).alias("tool_call_id"), F.lit(None).cast(kinds).alias("tool_calls"))
+    seen = F.struct(F.lit("tool").alias("role"), F.concat(F.col("text"), F.lit("\n[The command completed with exit code 0.]")).alias("content"), F.lit("execute_bash").alias("name"), F.concat_ws("-", F.lit("execute_bash"), F.col("turn").cast("string")).alias("tool_call_id"), F.lit(None).cast(kinds).alias("tool_calls"))
     turns = c.where("role = 'assistant'").join(end, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.array(said, seen).alias("m")))).alias("t"))
     user = F.struct(F.lit("user").alias("role"), F.lit("<uploaded_files>\n/workspace/r__1\n</uploaded_files>\n<issue_description>\nfix\n</issue_description>").alias("content"), none.alias("name"), none.alias("tool_call_id"), F.lit(None).cast(kinds).alias("tool_calls"))
     rows = turns.select(F.col("conv_id").alias("ordinal"), F.concat(F.lit("i"), F.expr("conv_id div 4").cast("string")).alias("instance_id"), F.lit("r").alias("repo"), F.when(F.col("conv_id") % 5 == 0, 0).otherwise(1).alias("resolved"), F.concat(F.array(user), F.flatten(F.transform("t", lambda x: x["m"]))).alias("trajectory"), F.lit("diff --git a/x b/x\n").alias("model_patch"))
@@ -638,26 +728,52 @@ def _conversions(spark, d) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id), w AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'unresolved' WHEN n > 3 THEN 'too_long' END AS why FROM t),
-r AS (SELECT *, coalesce(sum(CASE WHEN why IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id // 4 ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
-SELECT conv_id AS ordinal, CASE WHEN why = 'unresolved' THEN why WHEN before >= 2 THEN 'per_instance' ELSE why END AS reason, CAST(CASE WHEN why IS NULL AND before < 2 THEN n END AS BIGINT) AS n_turns FROM r""")
+r AS (SELECT *, coalesce(sum(CASE WHEN why IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id // 4 ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w), x AS (SELECT c.conv_id, 2 * count(*) + 2 AS n_messages, md5(string_agg(trim(c.text) || '|cat /workspace/f' || CAST(c.turn AS VARCHAR) || '|' || rtrim(c.text, chr(10)), '~' ORDER BY c.turn)) AS said FROM conversations c WHERE c.role = 'assistant' GROUP BY c.conv_id)
+SELECT r.conv_id AS ordinal, CASE WHEN why = 'unresolved' THEN why WHEN before >= 2 THEN 'per_instance' ELSE why END AS reason, CAST(CASE WHEN why IS NULL AND before < 2 THEN n END AS BIGINT) AS n_turns, CASE WHEN why IS NULL AND before < 2 THEN n_messages END AS n_messages, CASE WHEN why IS NULL AND before < 2 THEN said END AS said FROM r JOIN x ON x.conv_id = r.conv_id""")
 def convert_trajectories(spark, d):
-    return _conversions(spark, d).select("ordinal", "reason", F.col("conversation.n_turns").cast("long").alias("n_turns"))
-
-
-@query()
+    """Reasons and turns, the count of messages, and a digest of every turn's reasoning, command and output."""
+    out, m = _conversions(spark, d), F.col("conversation.messages")
+    turn = lambda x, i: F.concat_ws("|", x["reasoning"], F.get_json_object(x["tool_calls"][0]["function"]["arguments"], "$.command"), F.get_json_object(F.get(m, i + 1)["content"], "$.stdout"))
+    said = F.filter(F.transform(m, lambda x, i: F.when((x["role"] == "assistant") & (F.coalesce(F.size(x["tool_calls"]), F.lit(0)) > 0), turn(x, i))), lambda t: t.isNotNull())
+    return out.select("ordinal", "reason", F.col("conversation.n_turns").cast("long").alias("n_turns"), F.size(m).cast("long").alias("n_messages"), F.md5(F.array_join(said, "~")).alias("said")).withColumn("n_messages", F.when(F.col("reason").isNull(), F.col("n_messages")))
+
+
+@query(r"""WITH RECURSIVE c AS (SELECT conv_id, turn, role = 'assistant' AS target, text, count(CASE WHEN role = 'assistant' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS unit FROM conversations),
+h AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE unit = 0), '') AS head FROM c GROUP BY conv_id),
+u AS (SELECT conv_id, unit - 1 AS u, max(CASE WHEN target THEN text END) AS said, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE NOT target), '') AS behind, CASE WHEN max(CASE WHEN target THEN turn END) % 5 = 3 THEN 0 ELSE 1 END AS train FROM c WHERE unit > 0 GROUP BY conv_id, unit),
+p AS (SELECT *, sum(len(regexp_extract_all(said, '\S+')) + len(regexp_extract_all(behind, '\S+'))) OVER (PARTITION BY conv_id ORDER BY u) AS upto, sum(len(regexp_extract_all(said, '\S+')) + len(regexp_extract_all(behind, '\S+'))) OVER (PARTITION BY conv_id ORDER BY u) - len(regexp_extract_all(said, '\S+')) - len(regexp_extract_all(behind, '\S+')) AS before FROM u),
+f AS (SELECT a.conv_id, a.u AS s, coalesce(max(b.u) + 1, a.u) AS e FROM p a JOIN h ON h.conv_id = a.conv_id LEFT JOIN p b ON b.conv_id = a.conv_id AND b.u >= a.u AND b.upto - a.before <= 400 - len(regexp_extract_all(h.head, '\S+')) GROUP BY a.conv_id, a.u),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS e, false AS made FROM h
+ UNION ALL SELECT conv_id, s, first, e, made OR EXISTS (SELECT 1 FROM u WHERE u.conv_id = x.conv_id AND u.u >= x.first AND u.u < x.e AND u.train = 1) FROM (SELECT w.conv_id, w.e AS first, CASE WHEN f1.e > w.e THEN f1.s ELSE f2.s END AS s, CASE WHEN f1.e > w.e THEN f1.e ELSE f2.e END AS e, w.made
+  FROM w JOIN f f1 ON f1.conv_id = w.conv_id AND f1.s = CASE WHEN w.made THEN greatest(0, w.e - 2) ELSE 0 END JOIN f f2 ON f2.conv_id = w.conv_id AND f2.s = greatest(0, w.e - 1) WHERE EXISTS (SELECT 1 FROM u WHERE u.conv_id = w.conv_id AND u.u = w.e) AND greatest(CASE WHEN f1.e > w.e THEN f1.e ELSE f2.e END, w.e) > w.e) x),
+o AS (SELECT w.conv_id, w.first, w.s, w.e, u.u, CASE WHEN u.u >= w.first THEN u.train ELSE 0 END AS flag, u.said, u.behind FROM w JOIN u ON u.conv_id = w.conv_id AND u.u >= w.s AND u.u < w.e WHERE w.e > 0)
+SELECT CAST(o.conv_id AS VARCHAR) AS instance_id, CAST(sum(flag) AS BIGINT) AS turns, 2 * count(*) AS segments, md5(h.head || '|0' || string_agg('~' || said || '|' || flag || CASE WHEN o.u < o.e - 1 THEN '~' || behind || '|0' ELSE '' END, '' ORDER BY o.u)) AS digest
+FROM o JOIN h ON h.conv_id = o.conv_id GROUP BY o.conv_id, o.first, o.s, o.e, h.head HAVING sum(flag) > 0""")
 def pack_windows(spark, d):
-    """Converted conversations rendered and packed; the grammar of turns is beyond SQL, so tests hold it against brute force."""
-    from ..operators.windows import assembled, windows
+    """Conversations as segments (what precedes the first answer, then answers and what stands between them), packed under 400 words."""
+    from ..operators.windows import packed
 
-    kept = _conversions(spark, d).where("reason is null").select("conversation.*")
-    return windows(kept, lambda c: (assembled(c, "Fix it.", c["issue"], False), ()), most=120).select("instance_id", "turns", F.size("segments").alias("segments"))
-
-
-@query()
+    c = _table(spark, d, "conversations")
+    unit = F.count_if(F.col("role") == "assistant").over(sequences._ordered(["conv_id"], ["turn"]).rowsBetween(Window.unboundedPreceding, 0))
+    parts = c.select("conv_id", "turn", "text", (F.col("role") == "assistant").alias("target"), unit.alias("unit")).groupBy("conv_id", "unit").agg(
+        F.max(F.when(F.col("target"), F.col("text"))).alias("said"), F.max(F.when(F.col("target"), F.col("turn"))).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("target"), F.struct("turn", "text")))), lambda x: x["text"]), "\n").alias("behind"),
+    )
+    segment = lambda text, train: F.struct(text.alias("text"), train.cast("int").alias("train"))
+    own = F.when(F.col("unit") == 0, F.array(segment(F.col("behind"), F.lit(0)))).otherwise(F.array(segment(F.col("said"), F.when(F.col("at") % 5 == 3, 0).otherwise(1)), segment(F.col("behind"), F.lit(0))))
+    all_ = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit", own.alias("s")))), lambda x: x["s"]))
+    rows = parts.groupBy("conv_id").agg(all_.alias("s"), F.min("unit").alias("first")).select(F.col("conv_id").cast("string").alias("instance_id"), F.when(F.col("first") > 0, F.concat(F.array(segment(F.lit(""), F.lit(0))), F.col("s"))).otherwise(F.col("s")).alias("segments"))
+    out = packed(rows, most=400)
+    digest = F.md5(F.array_join(F.transform("segments", lambda x: F.concat(x["text"], F.lit("|"), x["train"].cast("string"))), "~"))
+    return out.select("instance_id", F.col("turns").cast("long").alias("turns"), F.size("segments").cast("long").alias("segments"), digest.alias("digest"))
+
+
+@query("""WITH e AS (SELECT doc_id, unnest([0, 1]) AS epoch, CASE WHEN n_chars <= 512 THEN 512 WHEN n_chars <= 2048 THEN 2048 ELSE 8192 END AS bucket FROM documents),
+s AS (SELECT *, CAST('0x' || left(md5(CAST(1 + epoch AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 15) AS BIGINT) AS spread FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY epoch, bucket ORDER BY spread, doc_id) - 1 AS n, count(*) OVER (PARTITION BY epoch, bucket) AS total FROM s)
+SELECT doc_id, epoch, CAST(bucket AS BIGINT) AS bucket, n // 2 AS step_in_bucket, (n // 2 + 1) * 2 <= total AS full FROM r""")
 def epoch_plan(spark, d):
-    """Seeded shuffles by Spark's own hash, which SQL elsewhere does not have."""
     docs = _table(spark, d, "documents").select("doc_id", "n_chars")
-    return checks.epoch_plan(docs, "doc_id", "n_chars", [512, 2048, 8192], 2, 2, 1).select("doc_id", "epoch", "bucket", "step_in_bucket", "full")
+    return checks.epoch_plan(docs, "doc_id", "n_chars", [512, 2048, 8192], 2, 2, 1).select("doc_id", "epoch", F.col("bucket").cast("long").alias("bucket"), "step_in_bucket", "full")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,8 +34,12 @@ def estimates(results: DataFrame, calls: DataFrame, key: list[str], per_call: fl
     return out.withColumn("est_s", F.least("est_s", F.lit(float(cap_s)))) if cap_s else out
 
 
-def projection(found: DataFrame, by: list[str] = [], n_tasks: int = 120, setup_min: float = 1.0) -> DataFrame:
-    """Per group: tasks, mean_min, median_min, solved, hours for ``n_tasks`` tasks, and whether that fits the limit."""
+def projection(found: DataFrame, by: list[str] = [], n_tasks: int = 120, setup_min: float = 1.0, order: str | None = None) -> DataFrame:
+    """Per group: tasks, mean_min, median_min, solved, hours for ``n_tasks`` tasks, and whether that fits the limit.
+
+    With ``order`` the groups come in the order in which they are first seen.
+    """
     hours = (F.avg("est_s") + setup_min * 60) * n_tasks / 3600
-    out = found.groupBy(*by).agg(F.count("*").alias("tasks"), (F.avg("est_s") / 60).alias("mean_min"), (F.median("est_s") / 60).alias("median_min"), F.count_if("resolved").alias("solved"), F.coalesce(hours, F.lit(0.0)).alias("hours"))
+    out = found.groupBy(*by).agg(F.count("*").alias("tasks"), (F.avg("est_s") / 60).alias("mean_min"), (F.median("est_s") / 60).alias("median_min"), F.count_if("resolved").alias("solved"), F.coalesce(hours, F.lit(0.0)).alias("hours"), *([F.min(order).alias("_first")] if order else []))
+    out = out.orderBy("_first").drop("_first") if order else out
     return out.withColumn("verdict", F.when(F.col("hours") > LIMIT_HOURS, "over").when(F.col("hours") > LIMIT_HOURS - 1.5, "near").otherwise("fits"))
