@@ -42,6 +42,22 @@ def test_exact_groups(spark, bits, block):
     assert exact_dedup.exact_groups(documents(spark, [])).count() == 0
 
 
+def test_buckets_hold_any_number_of_values(spark):
+    rows = [(i, f"{i:04d}") for i in range(1500)] + [(2000 + i, f"{i:04d}") for i in range(700)]  # two bits: hundreds of blocks in a bucket
+    out = exact_dedup.exact_groups(documents(spark, rows, False), block=4, bits=2).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in out} == {i: i % 2000 for i, _ in rows}
+    texts = [(i, f"{i % 40:02d}{i // 40:02d}") for i in range(1600)]  # two blocks each: crowded at the next level too
+    out = exact_dedup.exact_groups(documents(spark, texts, False), block=2, bits=1).collect()
+    assert all(r["keep_id"] == r["doc_id"] and r["group_size"] == 1 for r in out)
+
+
+def test_exact_groups_of_texts_over_a_slab(spark):
+    long = "word " * 30_000
+    rows = [(1, long), (2, long.replace(" ", "\n\t")), (3, long + "x"), (4, "y" + long)]
+    out = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_groups(documents(spark, rows, False)).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_exact_dedup_keeps_columns(spark):
     out = exact_dedup.dedup(documents(spark, [(2, "a"), (1, "a"), (3, "b")]))
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3] and out.columns == documents(spark, []).columns

@@ -3,14 +3,15 @@
 A text's UTF-8 bytes are cut into fixed-size blocks. Blocks get integer names: a block goes to a bucket
 by a 55-bit hash, and within the bucket the distinct blocks are sorted and numbered. Then adjacent pairs
 of names get names in the same way, level after level, until one name is left. Names are collision-free:
-every level is checked over the whole corpus, and where a bucket holds more than one value (for 55 bits
-hardly ever), the sorted numbers tell them apart. Two texts are equal just when their byte counts and last
-names are. Only a bucket's least and greatest value travel, so copies collapse before the shuffle.
+every level is checked over the whole corpus, and where a bucket holds more than one value (a few in a million
+million for 55 bits), the sorted numbers tell them apart, however many they are. Two texts are equal just when
+their byte counts and last names are. Only a bucket's least and greatest value travel, so copies collapse before
+the shuffle; and of crowded buckets, which are few and told to all tasks, only their own values and places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, documents, saved
@@ -19,23 +20,38 @@ from .common import SPACE, documents, saved
 BLOCK, SLAB = 512, 1 << 16
 #: Bits of a number within a bucket.
 RANK = 8
+#: Crowded buckets (16 bytes each) up to which their table is broadcast; beyond, the joins shuffle.
+SMALL = 500_000
 
 
 def _bucket(values: str, bits: int) -> str:
     return f"shiftrightunsigned(xxhash64({values}), {64 - bits})"
 
 
-def _ranks(values: DataFrame) -> DataFrame:
-    """level, bucket, value -> the number of each distinct value in buckets that hold several."""
-    several = values.groupBy("level", "bucket").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select("level", "bucket")
-    from pyspark.sql import Window
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SMALL else table
 
-    number = F.row_number().over(Window.partitionBy("level", "bucket").orderBy("value")) - 1
-    return values.join(several, ["level", "bucket"], "left_semi").distinct().withColumn("rank", F.when(number < (1 << RANK), number).otherwise(F.raise_error(F.lit("too many values in a bucket: raise bits"))).cast("long"))
 
+def _crowded(values: DataFrame) -> DataFrame:
+    """level and bucket (written) of the buckets that hold several values."""
+    return saved(values.groupBy("level", "bucket").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select("level", "bucket"))
 
-def _collides(values: DataFrame) -> bool:
-    return not values.groupBy("level", "bucket").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").isEmpty()
+
+def _named(values: DataFrame, crowded: DataFrame) -> DataFrame:
+    """level, bucket, value, name (written) of each distinct value in crowded buckets.
+
+    The first values of a bucket get its number and theirs in one name; those beyond get negative names, which count
+    on over all such buckets, so a bucket may hold any number of values.
+    """
+    several = saved(values.join(_small(crowded), ["level", "bucket"], "left_semi").distinct())
+    rank = F.row_number().over(Window.partitionBy("level", "bucket").orderBy("value")) - 1
+    ranked = several.withColumn("_rank", rank.cast("long"))
+    over = ranked.groupBy("level", "bucket").agg((F.max("_rank") - ((1 << RANK) - 1)).alias("_over")).where("_over > 0")
+    before = Window.orderBy("level", "bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket with over 2**RANK values
+    starts = over.select("level", "bucket", F.coalesce(F.sum("_over").over(before), F.lit(0)).alias("_start"))
+    named = ranked.join(F.broadcast(starts), ["level", "bucket"], "left")
+    name = F.when(F.col("_rank") < (1 << RANK), F.shiftleft("bucket", RANK) + F.col("_rank")).otherwise(-1 - F.col("_start") - (F.col("_rank") - (1 << RANK)))
+    return saved(named.select("level", "bucket", "value", name.alias("name")))
 
 
 def _pairs(level: int, names: str, bits: int) -> str:
@@ -64,9 +80,10 @@ def name_documents(docs: DataFrame, text: str = "text", block: int = BLOCK, bits
     here = f"substring(x, i * {block} + 1, {block})"
     named = saved(cut.select("doc_id", "text_sha256", "n_bytes", F.expr(pieces(f"shiftleft({_bucket(here, bits)}, {RANK})")).alias("names")))
     blocks = cut.select("text_sha256", "n_bytes", F.explode(F.expr(pieces(here))).alias("value")).selectExpr("text_sha256", "n_bytes", "0 as level", f"{_bucket('value', bits)} as bucket", "value")
-    if _collides(blocks.select("level", "bucket", "value")):
+    crowded = _crowded(blocks.select("level", "bucket", "value"))
+    if not crowded.isEmpty():
         where = cut.select("text_sha256", "n_bytes", F.posexplode(F.expr(pieces(here))).alias("i", "value")).selectExpr("*", "0 as level", f"{_bucket('value', bits)} as bucket")
-        named = saved(_renamed(named, where, _ranks(blocks.select("level", "bucket", "value")), None))
+        named = saved(_renamed(named, where, crowded, _named(blocks.select("level", "bucket", "value"), crowded), None))
     top = named.agg(F.max(F.size("names"))).first()[0] or 0
     levels = max(0, (top - 1).bit_length())
     # all levels are named at once; only if any of them has a crowded bucket do they go one by one
@@ -75,22 +92,24 @@ def name_documents(docs: DataFrame, text: str = "text", block: int = BLOCK, bits
         climbing = climbing.withColumn(f"l{level + 1}", _next(f"l{level}", bits))
     if levels:
         pairs = climbing.select(F.explode(F.concat(*(F.expr(f"if(size(l{k}) < 2, array(), {_pairs(k + 1, f'l{k}', bits)})") for k in range(levels)))).alias("p")).select("p.level", "p.bucket", F.struct("p.a", "p.b").alias("value"))
-        if _collides(pairs):
+        if not _crowded(pairs).isEmpty():
             climbing = named.withColumnRenamed("names", "l0")
             for level in range(levels):
                 here, up = f"l{level}", f"l{level + 1}"
                 each = climbing.select("text_sha256", "n_bytes", F.expr(f"posexplode(if(size({here}) < 2, array(), {_pairs(level + 1, here, bits)}))").alias("i", "p")).select("text_sha256", "n_bytes", "i", "p.level", "p.bucket", F.struct("p.a", "p.b").alias("value"))
-                climbing = saved(_renamed(climbing.withColumn("names", _next(here, bits)).drop(here), each, _ranks(each.select("level", "bucket", "value")), up))
+                values = each.select("level", "bucket", "value")
+                crowded = _crowded(values)
+                climbing = saved(_renamed(climbing.withColumn("names", _next(here, bits)).drop(here), each, crowded, _named(values, crowded), up))
     return climbing.select("doc_id", "text_sha256", "n_bytes", F.get(f"l{levels}", F.lit(0)).alias("name"))
 
 
-def _renamed(named: DataFrame, where: DataFrame, ranks: DataFrame, to: str | None) -> DataFrame:
-    """``named`` with the numbers of crowded buckets added to the names at the places in ``where``."""
-    found = where.select("text_sha256", "n_bytes", "i", "level", "bucket", "value").distinct().join(ranks, ["level", "bucket", "value"]).where("rank > 0")
-    fixes = found.groupBy("text_sha256", "n_bytes").agg(F.map_from_entries(F.collect_list(F.struct("i", "rank"))).alias("fix"))
+def _renamed(named: DataFrame, where: DataFrame, crowded: DataFrame, names: DataFrame, to: str | None) -> DataFrame:
+    """``named`` with the names of values in crowded buckets at their places (``where``); other places are not shuffled."""
+    found = where.join(_small(crowded), ["level", "bucket"], "left_semi").select("text_sha256", "n_bytes", "i", "level", "bucket", "value").distinct().join(_small(names), ["level", "bucket", "value"])
+    fixes = found.groupBy("text_sha256", "n_bytes").agg(F.map_from_entries(F.collect_list(F.struct("i", "name"))).alias("fix"))
     out = named.join(fixes, ["text_sha256", "n_bytes"], "left")
     # `names` keeps its name at level 0; later levels get `to`
-    return out.select(*(c for c in named.columns if c != "names"), F.expr("if(fix is null, names, transform(names, (x, i) -> x + coalesce(try_element_at(fix, i), 0L)))").alias(to or "names"))
+    return out.select(*(c for c in named.columns if c != "names"), F.expr("if(fix is null, names, transform(names, (x, i) -> coalesce(try_element_at(fix, i), x)))").alias(to or "names"))
 
 
 def exact_groups(docs: DataFrame, text: str = "text", block: int = BLOCK, bits: int = 64 - RANK - 1) -> DataFrame:
