@@ -2,9 +2,11 @@
 
 The plan is made from counts per length alone: at most ``size`` numbers, whatever the corpus holds. Full
 pieces are sequences of their own. Then, from the longest length down, gaps are closed exactly by one, two
-or three shorter lengths whose sum is the gap, found in hashed sums of the lengths that are left and used
-as often as their counts allow; what finds no exact complement goes best-fit. The plan is a list of
-patterns with multiplicities, and every piece finds its place from its rank within its length.
+or three shorter lengths whose sum is the gap, and used as often as their counts allow; what finds no exact
+complement goes best-fit. As a sum has at most ``size`` values, the index of sums is direct: a bit mask of the
+lengths that are left and its mirror, which moved by a sum tell at once all pairs that make it, instead of a hash
+table of pairs. The plan is a list of patterns with multiplicities, and every piece finds its place from its rank
+within its length, by bisection.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     """Patterns of lengths with sum <= size and how often each is used; together they use every length as often as it is there.
 
     A single length closes a gap if it equals it, a pair or triple if its sum does; pairs and triples come
-    from hashed sums of lengths that are left. Each step uses a combination as often as the counts allow
+    from the index of the lengths that are left. Each step uses a combination as often as the counts allow
     and so empties a length, which bounds the steps by the number of lengths.
     """
     left = {n: c for n, c in counts.items() if c and n}
@@ -112,13 +114,18 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     return out
 
 
+#: The last place whose first rank is at most the row's: places cover the ranks without gaps, in order.
+_BISECT = """_places[aggregate(sequence(1, 16), named_struct('lo', 0, 'hi', size(_places) - 1),
+ (s, _) -> if(s.lo >= s.hi, s, if(_places[cast((s.lo + s.hi + 1) div 2 as int)]._from <= _rank, named_struct('lo', cast((s.lo + s.hi + 1) div 2 as int), 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi + 1) div 2 as int) - 1))), s -> s.lo)]"""
+
+
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces with doc_id, piece and length (1 to ``size``).
 
     Gapless from offset 0, no sequence longer than ``size``. Equal lengths are interchangeable, so repeated
-    rows and ties are told apart by rank only. No rows give no rows.
+    rows and ties are told apart by rank only. No rows give no rows. Columns that are named sequence_id or offset give way.
     """
-    parts = saved(parts)
+    parts = saved(parts.drop("sequence_id", "offset"))
     salts = max(SALTS, parts.count() // SALT_ROWS)
     tagged = parts.withColumn("_salt", F.expr(f"pmod(xxhash64(doc_id, piece), {salts})"))
     by_slot = tagged.groupBy("length", "_salt").agg(F.count("*").alias("n"))
@@ -136,7 +143,7 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     places = parts.sparkSession.createDataFrame(use, "length long, _from long, _to long, _base long, offset long")
     grouped = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_base", "offset"))).alias("_places"))
     ranked = tagged.join(slots.select("length", "_salt", "_before"), ["length", "_salt"]).withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1 + F.col("_before"))
-    placed = ranked.join(F.broadcast(grouped), "length").withColumn("_p", F.expr("filter(_places, p -> _rank >= p._from and _rank < p._to)[0]"))
+    placed = ranked.join(F.broadcast(grouped), "length").withColumn("_p", F.expr(_BISECT))
     return placed.select(*parts.columns, (F.col("_p._base") + F.col("_rank") - F.col("_p._from")).alias("sequence_id"), F.col("_p.offset").alias("offset"))
 
 
