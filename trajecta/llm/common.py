@@ -20,33 +20,54 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir, or that the session has set.
+
+    Where both are unset a temporary folder is made, but only for a local master: executors of a cluster would each write
+    to a disk of their own, so there it is an error.
+    """
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="trajecta-"))
-    return sc.getCheckpointDir().rstrip("/")
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
+
+
+#: Paths of the tables that this process has written and not deleted, in order.
+_written: list[str] = []
+
+
+def _folder(spark: SparkSession):
+    """The application's own folder in the shared one, and its file system, which deletes it when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/trajecta-{spark.sparkContext.applicationId}")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return where, fs
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` as a written Parquet table in the shared folder: lineage ends there and no lost executor takes it along."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trajecta-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)[0].toString()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def purge(spark: SparkSession) -> None:
-    """Deletes the tables that saved() has written for this application; call it when results have been stored."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/trajecta-{spark.sparkContext.applicationId}"
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def empty_as_text(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def settled(spark: SparkSession, make: Callable[[], DataFrame], *done: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, saved, and its path; tables written on the way to it, and those in ``done``, are deleted."""
+    start = len(_written)
+    out = saved(make())
+    _, fs = _folder(spark)
+    for path in [*_written[start:-1], *done]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+        _written.remove(path)
+    return out, _written[-1]
 
 
 def arrow_map(df: DataFrame, columns: Sequence[str], schema: str | StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]], flush: int = 20_000, heavy: int = 8 << 20) -> DataFrame:
