@@ -64,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again.
+
+    What a stage wrote on its way, and the result before it, goes when its own result is written.
+    """
+    docs, paths = common.documents(spark, sf_dir), ()
     for _, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir))
+        docs, path = common.settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), *paths)
+        paths = (path,)
     return STAGES[-1][1](spark, docs, sf_dir)
