@@ -55,7 +55,7 @@ def test_byte_bpe_of_texts_over_a_chunk(spark):
     with open(path, "rb") as f:
         core = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     rng = random.Random(2)
-    long = "".join(rng.choices(["a", " ", "é", "\n", "  ", "12", "слово", "🙂", "!?"], k=150_000)) + "z" * 70_000 + " " * 70_000
+    long = "".join(rng.choices(["a", " ", "é", "\n", "  ", "12", "слово", "🙂", "!?"], k=64_500)) + "z" * 3_000 + "".join(rng.choices(["ab", " "], k=40_000)) + " " * 3_000 + "x"
     rows = list(enumerate([*texts(3, 10), long]))
     got = {r["doc_id"]: r for r in bpe.encode_documents(clashing(spark.createDataFrame(rows, "doc_id long, text string")), path, with_ids=True).collect()}
     for i, t in rows:
@@ -147,7 +147,8 @@ def test_places_are_kept_with_clashing_names(spark):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(held) <= -(-sum(r["length"] for r in out) // 2048) + 3
+    least = max(-(-sum(r["length"] for r in out) // 2048), sum(r["length"] > 1024 for r in out))  # no two of more than half a sequence share one
+    assert least <= len(held) <= 1.02 * least
 
 
 def linked(a, b, percent):
@@ -167,7 +168,8 @@ def test_a_large_group_about_the_threshold(spark, percent, edits):
         rows.append((i, " ".join(w)))
     rows.append((400, " ".join([*(f"long{i}" for i in range(30_000)), *base])))
     rows.append((401, " ".join([*(f"long{i}" for i in range(30_000)), *base[:100]])))
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    words = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
     up = {i: i for i, _ in rows}
 
     def find(i):
