@@ -90,3 +90,12 @@ def test_run_against_brute_force(spark, tmp_path):
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for parts in places.values():
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+
+
+def test_columns_with_the_operators_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd write to x.y@z.org", 3, "p", 7, "s"), (2, "a\nb\nc\nother", 3, "q", 8, "t"), (3, None, 0, "r", 9, "u")], "doc_id long, text string, n_chars long, pii string, n_lines_removed int, `a.b` string")
+    for _, stage in corpus_pipeline.STAGES[1:4:2]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"], r["pii"], r["n_lines_removed"], r["a.b"]) for r in out.collect()) == [(1, "p", 7, "s"), (2, "q", 8, "t"), (3, "r", 9, "u")]
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
