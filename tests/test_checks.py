@@ -131,6 +131,28 @@ def test_sampling(spark):
     assert rows(out) == [(1, "A"), (2, "B")]
 
 
+def test_replay_from_contexts_to_rates(spark, tmp_path):
+    from trajecta.plans import replay
+
+    call = lambda args: {"id": "1", "type": "function", "function": {"name": "f", "arguments": args}}
+    body = lambda i: {"messages": [{"role": "system", "content": "Be brief."}, {"role": "user", "content": f"q{i}"}, {"role": "assistant", "tool_calls": [call('{"i": %d}' % i)]}], "tools": [{"type": "function", "function": {"name": "f"}}]}
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps({"status": 200, "body": body(i)}) for i in range(4)))
+    contexts = scans.contexts(spark, str(tmp_path / "log.jsonl"))
+
+    def sampler(row):
+        hot = json.loads(row["overrides"]).get("temperature", 0) > 0
+        named = "g" if hot and row["k"] else "f"
+        return {"ctx": row["ctx"], "cond": row["cond"], "k": row["k"], "raw": None, "content": row["system"], "calls": [{"name": named, "arguments": row["prev_call"]["arguments"]}], "finish": "stop", "completion_tokens": 10 + 5 * hot}
+
+    conditions = [requests.parse_condition("orig="), requests.parse_condition("hot=temp:0.6")]
+    found = replay.sampled_records(contexts, conditions, 2, sampler, ["unknown_tool", "exact_repeat", "completion_tokens"]).cache()
+    assert found.count() == 16
+    rates = {(r["cond"], r["metric"]): (r["n"], r["hits"], r["mean"]) for r in replay.rates(found, ["unknown_tool", "exact_repeat", "completion_tokens"]).collect()}
+    assert rates["orig", "unknown_tool"] == (8, 0, 0.0) and rates["hot", "unknown_tool"] == (8, 4, 0.5) and rates["orig", "exact_repeat"] == (8, 8, 1.0) and rates["hot", "completion_tokens"] == (8, None, 15.0)
+    pairs = {r["metric"]: (r["lower"], r["higher"], r["tied"]) for r in replay.paired(found, ["unknown_tool", "completion_tokens"], "orig").collect()}
+    assert pairs == {"unknown_tool": (0, 4, 0), "completion_tokens": (0, 4, 0)}
+
+
 def test_numbering_has_no_favourites(spark):
     values = [(i, float(i % 7)) for i in range(300)] + [(300, 1e300), (301, -1e300), (302, float("inf"))]
     df = spark.createDataFrame(values, "i long, v double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from pathlib import Path
 
@@ -65,7 +66,7 @@ def _scorer_time(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _replay(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Selects contexts and writes the grid of requests to sample; with --records, compares sampled records instead."""
+    """Selects contexts and writes the grid of requests, or with --sampler module:function the records of their samples; --records compares such records."""
     if a.records:
         rows = spark.read.json(a.records)
         names = a.metric or [c for c in rows.columns if c not in ("ctx", "cond", "k")]
@@ -75,10 +76,14 @@ def _replay(spark: SparkSession, a: argparse.Namespace) -> None:
     found = replay.select(scans.contexts(spark, a.logs), a.select, not a.no_onset, a.role)
     found = replay.limited(replay.dedupe(found) if a.dedupe else found, a.limit, a.seed)
     texts = {arg: Path(arg).read_text() for c in a.cond for op, arg in parse_condition(c).ops if op in ("subs", "append", "prepend")}
+    conditions = [parse_condition(c, texts) for c in a.cond or ["orig="]]
     if a.dry:
         print(f"{found.count()} contexts selected ({a.select})")
+    elif a.sampler:
+        module, _, name = a.sampler.partition(":")
+        replay.sampled_records(found, conditions, a.n, getattr(importlib.import_module(module), name), a.metric, a.require_subs).write.mode("overwrite").json(a.out)
     else:
-        replay.grid(found, [parse_condition(c, texts) for c in a.cond or ["orig="]], a.n, a.require_subs).write.mode("overwrite").json(a.out)
+        replay.grid(found, conditions, a.n, a.require_subs).write.mode("overwrite").json(a.out)
 
 
 def _smoke(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -110,7 +115,7 @@ def main(argv: list[str] | None = None) -> None:
     command("render", _render, ("conv", {}), ("out", {}), ("--system-prompt", {"required": True}), ("--user-template", {"required": True}), ("--tools", {}), ("--tools-from-log", {}), ("--tool-names", {"default": "run_command,read_file,edit_file,write_file,get_status,submit_patch"}), ("--mode", {"choices": ["think", "nothink"], "default": "nothink"}), ("--encoding", {"choices": ["single", "double"], "default": "single"}), ("--max-len", {"type": int, "default": 12_288}), ("--valid-frac", {"type": float, "default": 0.02}), ("--limit", {"type": int, "default": 0}), ("--exclude-repos", {"default": ""}), ("--mask-error-turns", {"choices": ["off", "tool", "all"], "default": "off"}))
     command("log-stats", _log_stats, ("logs", many), ("--role", {"action": "append", "default": []}), ("--loop-threshold", {"type": int, "default": 10}), ("--top", {"type": int, "default": 10}))
     command("scorer-time", _scorer_time, ("--results", many | {"required": True}), ("--proxy-log", many | {"required": True}), ("--per-call", {"type": float, "default": 0.6}), ("--tok-s", {"type": float, "default": 25.5}), ("--cap-minutes", {"type": float}), ("--tasks", {"type": int, "default": 120}), ("--setup-minutes", {"type": float, "default": 1.0}), ("--by-arm", flag))
-    command("replay", _replay, ("logs", {"nargs": "*"}), ("--select", {"default": "all", "choices": ["all", "malformed", "after-error", "repeat", "repeat-onset"]}), ("--no-onset", flag), ("--role", {}), ("--dedupe", flag), ("--limit", {"type": int, "default": 0}), ("--seed", {"type": int, "default": 0}), ("--cond", {"action": "append", "default": []}), ("--require-subs", flag), ("--n", {"type": int, "default": 4}), ("--out", {"default": "replay"}), ("--dry", flag), ("--records", {}), ("--base", {}), ("--metric", {"action": "append"}))
+    command("replay", _replay, ("logs", {"nargs": "*"}), ("--select", {"default": "all", "choices": ["all", "malformed", "after-error", "repeat", "repeat-onset"]}), ("--no-onset", flag), ("--role", {}), ("--dedupe", flag), ("--limit", {"type": int, "default": 0}), ("--seed", {"type": int, "default": 0}), ("--cond", {"action": "append", "default": []}), ("--require-subs", flag), ("--n", {"type": int, "default": 4}), ("--out", {"default": "replay"}), ("--dry", flag), ("--sampler", {}), ("--records", {}), ("--base", {}), ("--metric", {"action": "append"}))
     command("smoke", _smoke, ("logs", many))
     command("check-adapter", _check_adapter, ("adapter", {}), ("--expected", {}))
     a = top.parse_args(argv)

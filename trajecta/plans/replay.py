@@ -60,7 +60,7 @@ def grid(contexts: DataFrame, conditions: Sequence[Condition], samples: int, req
     first = F.element_at("body.messages", 1)
     out = None
     for n, condition in enumerate(conditions):
-        edited, made = condition.system(text.system_text(F.col("body.messages")))
+        edited, made = condition.system(text.system_text(F.col("body.messages"), ""))
         own = contexts.select(
             F.col("ordinal").alias("ctx"), F.lit(condition.name).alias("cond"), F.lit(n).alias("cond_at"), F.when(first["role"].isin("system", "developer"), made).otherwise(F.lit(0)).cast("long").alias("subs"),
             edited.alias("system"), F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in condition.overrides().items())), {"ignoreNullFields": "false"}).alias("overrides") if condition.overrides() else F.lit("{}").alias("overrides"),
@@ -99,6 +99,13 @@ def paired(rows: DataFrame, names: Sequence[str], base: str) -> DataFrame:
     return out.withColumn("p", selection.sign_test("lower", "higher"))
 
 
-def replay(contexts: DataFrame, conditions: Sequence[Condition], samples: int, sampler, schema: str) -> DataFrame:
-    """The grid's rows answered by a sampler; write the result before comparing it."""
-    return joins.sampled(grid(contexts, conditions, samples), sampler, schema)
+#: What a sampler answers for a row of the grid.
+ANSWER = "ctx long, cond string, k int, raw string, content string, calls array<struct<name:string,arguments:string>>, finish string, completion_tokens int"
+
+
+def sampled_records(contexts: DataFrame, conditions: Sequence[Condition], samples: int, sampler, names: Sequence[str] | None = None, require_subs: bool = False) -> DataFrame:
+    """records() of the grid's rows as a sampler answers them (a dict of ANSWER's fields); write the result before comparing it."""
+    answers = joins.sampled(grid(contexts, conditions, samples, require_subs), sampler, ANSWER)
+    last = F.try_element_at(calls.history_calls(F.col("body.messages")), F.lit(-1))["function"]
+    about = contexts.select(F.col("ordinal").alias("ctx"), declared_names(F.col("body.tools")).alias("declared"), F.struct(last["name"].alias("name"), last["arguments"].alias("arguments")).alias("prev_call"))
+    return records(answers.join(about, "ctx"), names)
